@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import without
+from larkspur.llm.common import cut, without
 
 HASHES = 2
 MAX_CELLS = 1 << 26
@@ -47,5 +47,6 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", c
     alone = seen.where("NOT __maybe").select(*keyed.columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     maybe = seen.where("__maybe").drop("__maybe")
     best = maybe.groupBy(F.col("text_sha256").alias("__sha")).agg(F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("__best"), F.count("*").alias("group_size"))
+    best = cut(best, "dedup-groups")  # a written side lets the join below split a large group's partition
     grouped = maybe.join(best, F.col("text_sha256") == F.col("__sha")).select(*keyed.columns, F.col("__best.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.row")).alias("kept"))
     return alone.unionByName(grouped).drop("__row")

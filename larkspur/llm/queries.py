@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm.common import table
+from larkspur.llm.common import crc_mod, table
 from larkspur.llm.exact_dedup import exact_dedup
+from larkspur.llm.language_id import identify, learnable, train
+from larkspur.llm.license_scan import scan_licenses
 from larkspur.llm.mixing import mix
+from larkspur.llm.quality import score_quality
+from larkspur.llm.sentencepieces import encode
 from larkspur.llm.topk import exact_topk
 
 
+def tokenizer() -> str:
+    """The SentencePiece model file: LARKSPUR_SENTENCEPIECE, or the installed public one."""
+    import public_tokenizers
+
+    return os.environ.get("LARKSPUR_SENTENCEPIECE") or public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = identify(documents.select("doc_id", "text"), train(documents, learnable()))
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(), digest=True)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -22,7 +55,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op8_exact_dedup, op9_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_sentencepiece, op5_quality, op7_license_scan, op8_exact_dedup, op9_exact_topk)}
 
 ORACLE = {
     "op8_exact_dedup": """
