@@ -12,6 +12,7 @@ from larkspur.llm.exact_dedup import exact_dedup
 from larkspur.llm.language_id import identify, learnable, train
 from larkspur.llm.license_scan import scan_licenses
 from larkspur.llm.mixing import mix
+from larkspur.llm.near_join import similar_classes
 from larkspur.llm.quality import score_quality
 from larkspur.llm.sentencepieces import encode
 from larkspur.llm.topk import exact_topk
@@ -55,7 +56,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_sentencepiece, op5_quality, op7_license_scan, op8_exact_dedup, op9_exact_topk)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_sentencepiece, op5_quality, op7_license_scan, op8_exact_dedup, op9_exact_topk, op10_ngram_jaccard)}
 
 ORACLE = {
     "op8_exact_dedup": """
