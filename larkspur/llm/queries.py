@@ -11,6 +11,7 @@ from larkspur.llm.common import crc_mod, table
 from larkspur.llm.exact_dedup import exact_dedup
 from larkspur.llm.language_id import identify, learnable, train
 from larkspur.llm.license_scan import scan_licenses
+from larkspur.llm.line_dedup import line_report
 from larkspur.llm.mixing import mix
 from larkspur.llm.near_join import similar_classes
 from larkspur.llm.quality import score_quality
@@ -44,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
@@ -60,7 +65,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_sentencepiece, op5_quality, op7_license_scan, op8_exact_dedup, op9_exact_topk, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_sentencepiece, op5_quality, op6_line_dedup, op7_license_scan, op8_exact_dedup, op9_exact_topk, op10_ngram_jaccard)}
 
 ORACLE = {
     "op8_exact_dedup": """
