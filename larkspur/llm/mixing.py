@@ -15,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, without
+from larkspur.llm.common import cut
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 BUCKET_BITS = 12
 WORD = "[^\\x20\\x09-\\x0D]+"
-OUT = ("size", "source_size", "target", "taken")
+#: Where the mix ends in each source's queue is broadcast for up to so many sources, else joined by shuffling.
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -52,30 +53,48 @@ def finish(epoch: int) -> Column:
     return (F.col("__sum") + epoch * F.col("source_size")) / F.col("weight")
 
 
-def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 17, epochs: int = EPOCHS, weights: tuple = WEIGHTS, carry: bool = False) -> DataFrame:
-    """Per document its id, size, source_size, target and taken (with carry: also all columns of df).
+def queues(df: DataFrame, text_col: str, id_col: str, source_col: str, seed: int, epochs: int, weights: tuple) -> tuple[DataFrame, float]:
+    """For each row its id, source, hash (the place in the shuffled queue), size, source_size, target, weight and __sum (words of its source up to its end); and the last finish time of the mix."""
+    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    sized = cut(sized.withColumn("hash", F.xxhash64("id", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("hash", 64 - BUCKET_BITS)), "mix-sizes")
+    aims = cut(targets(sized, epochs, weights), "mix-targets")
+    group = F.struct("source", "bucket")
+    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    sums = sums.join(aims.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(group.alias("group"), "before", "weight", "source_size", "target")
+    inside = Window.partitionBy("group").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = sized.withColumn("group", group).withColumn("within", F.sum("size").over(inside)).join(sums, "group").withColumn("__sum", F.col("before") + F.col("within"))
+    summed = cut(summed.select("id", "source", "hash", "size", "source_size", "target", "weight", "__sum"), "mix-queues")
+    return summed, last_taken(summed.where("size > 0"), epochs)
+
+
+def mix(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 17, epochs: int = EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
+    """The id, size, source_size, target and taken of each document.
 
     taken is size times the number of passes (0 to epochs) in which the mix takes the document. A null or blank text
     has size 0 and is never taken. The shuffle is a hash of the id, so reruns agree; repeated rows stand
-    beside each other. Columns of df that have the names of results are replaced. An empty df gives an empty result.
+    beside each other. An empty df gives an empty result.
     """
-    rows = without(df, *OUT)
-    kept = rows.columns if carry else [id_col]
-    sized = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("__hash")).withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - BUCKET_BITS))
-    if not carry:
-        sized = cut(sized, "mix-sizes")
-    aims = cut(targets(sized.select(F.col("__source").alias("source"), "size"), epochs, weights), "mix-targets")
-    group = F.struct("__source", "__bucket")
-    sums = sized.groupBy("__source", "__bucket").agg(F.sum("size").alias("__words"))
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__words").over(before), F.lit(0))).drop("__words")
-    sums = sums.join(aims, F.col("__source").eqNullSafe(F.col("source"))).select(group.alias("__g"), "__before", "weight", "source_size", "target")
-    inside = Window.partitionBy("__g").orderBy("__hash", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = sized.withColumn("__g", group).withColumn("__in", F.sum("size").over(inside)).join(sums, "__g").withColumn("__sum", F.col("__before") + F.col("__in"))
-    summed = cut(summed.select(*kept, "size", "source_size", "target", "weight", "__sum"), "mix-queues")
-    last = last_taken(summed.where("size > 0"), epochs)
+    summed, last = queues(df, text_col, id_col, source_col, seed, epochs, weights)
     taken = sum((F.when(finish(e) <= F.lit(last), F.col("size")).otherwise(F.lit(0)) for e in range(epochs)), F.lit(0).cast("long"))
-    return summed.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return summed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 17, epochs: int = EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of df; texts do not shuffle.
+
+    In each pass the mix takes a source's queue up to one place: a document is taken where its own place is not beyond.
+    """
+    summed, last = queues(df, text_col, id_col, source_col, seed, epochs, weights)
+    place = F.struct("hash", "id", "size")
+    ends = cut(summed.groupBy("source").agg(*[F.max(F.when(finish(e) <= F.lit(last), place)).alias(f"__end{e}") for e in range(epochs)]).withColumnRenamed("source", "__of"), "mix-ends")
+    few = ends.count() <= BROADCAST_SOURCES
+    rows = df.withColumn("__size", n_words(F.col(text_col)))
+    rows = rows.join(F.broadcast(ends) if few else ends, F.col(source_col).eqNullSafe(F.col("__of")))
+    own = F.struct(F.xxhash64(F.col(id_col), F.lit(seed)).alias("hash"), F.col(id_col).alias("id"), F.col("__size").alias("size"))
+    times = sum((F.when(own <= F.col(f"__end{e}"), 1).otherwise(0) for e in range(epochs)), F.lit(0))
+    return rows.where("__size > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def last_taken(summed: DataFrame, epochs: int) -> float:
@@ -92,9 +111,3 @@ def last_taken(summed: DataFrame, epochs: int) -> float:
             return last if best is None else best
         taken, last = taken + part["words"], part["last"]
     return last
-
-
-def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of df."""
-    out = mix(df, carry=True, **options).where("taken > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(*[c for c in df.columns if c in out.columns])

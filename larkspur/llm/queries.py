@@ -17,6 +17,7 @@ from larkspur.llm.near_join import similar_classes
 from larkspur.llm.quality import score_quality
 from larkspur.llm.sentencepieces import encode
 from larkspur.llm.topk import exact_topk
+from larkspur.llm.url_filter import filter_urls
 
 
 def tokenizer() -> str:
@@ -40,6 +41,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(), digest=True)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
@@ -65,7 +70,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_sentencepiece, op5_quality, op6_line_dedup, op7_license_scan, op8_exact_dedup, op9_exact_topk, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_sentencepiece, op4_url_filter, op5_quality, op6_line_dedup, op7_license_scan, op8_exact_dedup, op9_exact_topk, op10_ngram_jaccard)}
 
 ORACLE = {
     "op8_exact_dedup": """
