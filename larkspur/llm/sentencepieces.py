@@ -41,12 +41,18 @@ class Vocabulary:
         """pieces: text, score and whether it is a normal piece, by id; unknown: the id for a character without any."""
         self.ids = {p: i for i, (p, _, normal) in enumerate(pieces) if normal}
         self.rank = {p: score for p, score, normal in pieces if normal}
-        self.longest = max(map(len, self.ids), default=1)
+        self.tails: dict[str, tuple[int, ...]] = {}
+        long_tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                long_tails.setdefault(p[-3:], set()).add(len(p))
+        self.long_tails = {end: tuple(sorted(n, reverse=True)) for end, n in long_tails.items()}
         self.unknown = unknown
         self.bytes = {int(p[3:5], 16): i for i, (p, _, normal) in enumerate(pieces) if not normal and re.fullmatch("<0x[0-9A-F]{2}>", p)}
         spelled = {i: bytes([b]) for b, i in self.bytes.items()}
         self.spelled = [spelled.get(i, p.replace(MARK, " ").encode() if normal else b"") for i, (p, _, normal) in enumerate(pieces)]
         self.memo: dict[tuple[str, str], bool] = {}
+        self.histories: dict[str, list[tuple[float, str, str]] | None] = {"": []}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -55,68 +61,103 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return cls([(model.id_to_piece(i), model.get_score(i), not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))) for i in range(model.get_piece_size())], model.unk_id())
 
-    def merged(self, text: str) -> list[str]:
-        """Greedy merging: the best-scored pair first, of equals the leftmost."""
-        parts = list(text)
-        while True:
+    def history(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters, best score first and of equals the leftmost: score, first and last part after it. None if they end in more than one part."""
+        if piece in self.histories:
+            return self.histories[piece]
+        parts, steps = list(piece), []
+        while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 score = self.rank.get(parts[i] + parts[i + 1])
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if best is None:
-                return parts
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            steps.append((best, parts[0], parts[-1]))
+        out = self.histories[piece] = steps if len(parts) == 1 else None
+        return out
 
     def adjacent(self, left: str, right: str) -> bool:
-        """Whether merging leaves right, alone or after left, as it is; left may be empty."""
+        """Whether merging leaves right, alone or after left, as it is; left may be empty.
+
+        The merges within left and within right go on independently, the better-scored next one first, until one across the
+        boundary is better than both.
+        """
         known = self.memo.get((left, right))
         if known is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            known = self.memo[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            known = self.memo[left, right] = self.undisturbed(left, right)
         return known
 
+    def undisturbed(self, left: str, right: str) -> bool:
+        mine, other = self.history(left), self.history(right)
+        if mine is None or other is None or not left:
+            return other is not None
+        i = j = 0
+        a, b = left[-1], right[0]
+        while True:
+            across = self.rank.get(a + b)
+            if across is None:
+                # no merge can cross before one of the two parts changes
+                if i == len(mine) and j == len(other):
+                    return True
+            elif not (i < len(mine) and mine[i][0] >= across) and not (j < len(other) and other[j][0] > across):
+                return False
+            if j == len(other) or i < len(mine) and mine[i][0] >= other[j][0]:
+                a = mine[i][2]
+                i += 1
+            else:
+                b = other[j][1]
+                j += 1
+
     def spell(self, piece: str) -> list[int]:
         """The ids of a piece: its own, or those of the bytes of a character that has none."""
         if piece in self.ids:
             return [self.ids[piece]]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
+    def lengths(self, end: str) -> tuple[int, ...]:
+        """The lengths, largest first, of the pieces that a text may end in; end: its last three characters (all, if fewer)."""
+        known = self.tails.get(end)
+        if known is None:
+            short = [n for n in (2, 1) if n <= len(end) and (n == 1 or end[-2:] in self.ids)]
+            known = self.tails[end] = (*self.long_tails.get(end, ()), *short)
+        return known
+
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """The ids of each word."""
         out: dict[str, tuple[int, ...]] = {}
-        pieces, ids, longest, memo = self.ids, self.ids, self.longest, self.memo
+        ids, tails, memo = self.ids, self.tails, self.memo
         before = ""
         last: list[str] = [""]  # for each prefix of the word at hand the last piece of its path
+        paths: list[tuple[int, ...]] = [()]  # and the ids of the path
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], paths[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):  # the longest piece first
+                tail = word[end - 3 if end > 3 else 0 : end]
+                for length in tails.get(tail) or self.lengths(tail):
+                    start = end - length
+                    if start < 0:
+                        continue
                     piece = word[start:end]
-                    if piece not in pieces and end - start > 1:
+                    number = ids.get(piece)
+                    if number is None and length > 1:
                         continue
                     left = last[start]
                     known = memo.get((left, piece))
                     if known or known is None and self.adjacent(left, piece):
                         last.append(piece)
+                        paths.append((*paths[start], number) if number is not None else (*paths[start], *self.spell(piece)))
                         break
-            path, end = [], len(word)
-            while end:
-                path.append(last[end])
-                end -= len(last[end])
-            found: list[int] = []
-            for piece in reversed(path):
-                if piece in ids:
-                    found.append(ids[piece])
-                else:
-                    found += self.spell(piece)
-            out[word] = tuple(found)
+            out[word] = paths[-1]
             before = word
         return out
 
