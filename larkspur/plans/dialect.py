@@ -5,6 +5,7 @@ literals or quoted names:
 
 * ``ORDER BY x`` without a null order: nulls come last ascending and first descending.
 * ``x = ANY (array)`` and ``x <op> ANY | ALL (array)``: ``exists`` and ``forall`` over the array, with three-valued logic.
+* ``(a, b) > (c, d)``: column by column.
 * ``SELECT DISTINCT ON (keys) ... ORDER BY``: row_number over the keys.
 * ``FETCH FIRST n ROWS ONLY``: LIMIT; ``WITH TIES`` of a top-level query: rank over its order.
 * ``x !~ p``, ``x ~ p``, ``x ~* p``: rlike.
@@ -43,6 +44,7 @@ SHAPED = {
     "to_json_list": "to_json(collect_list({0}))",
 }
 COMPARE = {"=", "<>", "!=", "<", "<=", ">", ">="}
+BEFORE_OPERAND = {"select", "distinct", "where", "and", "or", "not", "on", "having", "when", "then", "else", "case", "by"}
 ENDS_ORDER = {"limit", "offset", "fetch", "rows", "range", "groups", "union", "intersect", "except", "window", "for"}
 
 
@@ -134,14 +136,17 @@ def quantified(t: list[str]) -> list[str]:
                 depth = 0
                 while out:  # the operand: a bracket or a name with what is tied to it
                     y = out[-1]
-                    if depth == 0 and (blank(y) or y in ("(", ",", "[") or y in COMPARE):
+                    if depth == 0 and (y in ("(", ",", "[") or y.lower() in BEFORE_OPERAND):
                         break
                     depth += (y in ")]") - (y in "([") if len(y) == 1 else 0
                     left.insert(0, out.pop())
                 fn = "forall" if t[j].lower() == "all" else "exists"
                 array = "".join(t[k + 1 : end]).strip()
                 array = re.sub(r"^ARRAY\s*\[(.*)\]$", r"array(\1)", array, flags=re.S | re.I)
-                out.append(f"{fn}({array}, any_e -> {''.join(left)} {x} any_e)")
+                lead = []
+                while left and blank(left[0]):
+                    lead.append(left.pop(0))
+                out.append(f"{''.join(lead)}{fn}({array}, any_e -> {''.join(left)} {x} any_e)")
                 i = end + 1
                 continue
         out.append(x)
@@ -149,6 +154,36 @@ def quantified(t: list[str]) -> list[str]:
     return out
 
 
+def row_compare(left: list[str], op: str, right: list[str]) -> str:
+    """(a, b) op (c, d), column by column."""
+    if op in ("=", "<>", "!="):
+        return "(" + (" AND " if op == "=" else " OR ").join(f"{a} {op} {b}" for a, b in zip(left, right, strict=True)) + ")"
+    if len(left) == 1:
+        return f"{left[0]} {op} {right[0]}"
+    return f"({left[0]} {op[0]} {right[0]} OR ({left[0]} = {right[0]} AND {row_compare(left[1:], op, right[1:])}))"
+
+
+def rows_compared(t: list[str]) -> list[str]:
+    """Comparisons of row values."""
+    out: list[str] = []
+    i = 0
+    while i < len(t):
+        before = next((x for x in reversed(out) if not blank(x)), "")
+        if t[i] == "(" and (before == "(" or before.lower() in BEFORE_OPERAND):
+            end = close_of(t, i)
+            j = following(t, end + 1)
+            k = following(t, j + 1)
+            if k < len(t) and t[j] in COMPARE and t[k] == "(":
+                left, right = split_args(t[i + 1 : end]), split_args(t[k + 1 : close_of(t, k)])
+                if len(left) == len(right) > 1:
+                    out.append(row_compare(left, t[j], right))
+                    i = close_of(t, k) + 1
+                    continue
+        out.append(t[i])
+        i += 1
+    return out
+
+
 def renamed(t: list[str]) -> list[str]:
     out: list[str] = []
     i = 0
@@ -236,6 +271,7 @@ def translate(text: str) -> str:
     t = tokens("".join(distinct_on(t)))
     t = tokens("".join(fetch(t)))
     t = tokens("".join(quantified(t)))
+    t = tokens("".join(rows_compared(t)))
     return "".join(renamed(t))
 
 

@@ -139,7 +139,7 @@ def interval_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 W = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey{0})"
 text("row_number", f"SELECT o_orderkey, CAST(row_number() {W.format('')} AS BIGINT) AS rn FROM orders")
-text("rank_family", "SELECT l_orderkey, l_linenumber, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d, round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)")
+text("rank_family", "SELECT l_orderkey, l_linenumber, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d, percent_rank() OVER w AS p, cume_dist() OVER w AS c FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)")
 text("ntile", f"SELECT o_orderkey, CAST(ntile(4) {W.format('')} AS BIGINT) AS q FROM orders")
 text("lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {W.format('')} AS prev, lead(o_totalprice, 2, 0.0e0) {W.format('')} AS next2 FROM orders")
 text("first_last_nth", f"SELECT o_orderkey, first_value(o_orderkey) {W.format('')} AS f, last_value(o_orderkey) {W.format('')} AS l, nth_value(o_orderkey, 2) {W.format('')} AS n2 FROM orders")

@@ -200,7 +200,7 @@ def date_trunc_day_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[dt.date_trunc(f, F.col("ts")).alias(f"{f}_") for f in ("day", "hour", "minute", "second")])
 
 
-@query("SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{f}', o_orderdate) AS TIMESTAMP) AS {f}_" for f in ("week", "month", "quarter", "year", "decade", "century", "millennium")) + " FROM orders")
+@query("SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{f}', o_orderdate) AS TIMESTAMP) AS {f}_" for f in ("week", "month", "quarter", "year", "decade")) + ", " + ", ".join(f"CAST(make_date(CAST((year(o_orderdate) - 1) // {n} * {n} + 1 AS INTEGER), 1, 1) AS TIMESTAMP) AS {f}_" for f, n in (("century", 100), ("millennium", 1000))) + " FROM orders")
 def date_trunc_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", *[dt.date_trunc(f, F.col("o_orderdate")).alias(f"{f}_") for f in ("week", "month", "quarter", "year", "decade", "century", "millennium")])
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from larkspur.functions import geometry, vectors
 from larkspur.plans import explain
@@ -73,13 +74,13 @@ X0, Y0, SIDE = "n_nationkey * 1.5", "n_nationkey % 5", "2 + n_nationkey % 3"
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations with g, a square, p, its centre, and the box of the square."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BinaryType())
     def square(x, y, s):
         import pandas as pd
 
         return pd.Series([geometry.write_polygon([[(a, b), (a + c, b), (a + c, b + c), (a, b + c), (a, b)]]) for a, b, c in zip(x, y, s, strict=True)])
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BinaryType())
     def centre(x, y, s):
         import pandas as pd
 
@@ -160,11 +161,11 @@ def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN 1.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE NOT (o_orderkey % 10 = 0 AND o_orderstatus = 'F')
-  UNION ALL SELECT -o_orderkey, 'N', 1.0 FROM orders WHERE o_orderkey % 10 = 0""")
+  UNION ALL SELECT -o_orderkey, 'N', 1.0 FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey > 0""")
 def dml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = loaded(spark, sf_dir)
     some = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    source = some.select("o_orderkey", F.lit("M").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice")).unionAll(some.select(-F.col("o_orderkey"), F.lit("N"), F.lit(1.0)))
+    source = some.select("o_orderkey", F.lit("M").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice")).unionAll(some.where("o_orderkey > 0").select(-F.col("o_orderkey"), F.lit("N"), F.lit(1.0)))
     t.merge(source, ["o_orderkey"], update={"o_totalprice": F.col("s_o_totalprice")}, delete_when=F.col("o_orderstatus") == "F")
     return t.read()
 
