@@ -70,9 +70,13 @@ def symbols(text: Column) -> Column:
 
 def grams(codes: Column) -> Column:
     """The gram of each symbol after the starts: it and the two before it, as one number."""
-    n = F.size(codes)
-    at = lambda i: F.get(codes, i)
-    return F.when(n > 2, F.transform(F.sequence(F.lit(2), n - 1), lambda i: (at(i - 2) * SYMBOLS + at(i - 1)) * SYMBOLS + at(i))).otherwise(F.array().cast("array<int>"))
+
+    def of(known: Column) -> Column:
+        n = F.size(known)
+        at = lambda i: F.get(known, i)
+        return F.when(n > 2, F.transform(F.sequence(F.lit(2), n - 1), lambda i: (at(i - 2) * SYMBOLS + at(i - 1)) * SYMBOLS + at(i))).otherwise(F.array().cast("array<int>"))
+
+    return F.transform(F.array(codes), of)[0]  # codes are computed once, not for each gram
 
 
 def smoothed(counts: np.ndarray) -> np.ndarray:
