@@ -43,3 +43,9 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def carried(keep: tuple, *results: str) -> list[Column]:
+    """The columns keep but for those that have the names of results."""
+    low = {n.lower() for n in results}
+    return [F.col(f"`{c}`") for c in keep if c.lower() not in low]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrowtext import joined, parts, texts
-from larkspur.llm.common import crc_mod
+from larkspur.llm.common import carried, crc_mod
 
 ORDER = 3
 PAD = b"\n" * ORDER
@@ -148,12 +148,12 @@ def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """The columns keep of df, lang_pred, score (0 to 1) and bits_per_byte of the shortest code.
+    """The columns keep of df (but for those named like results), lang_pred, score (0 to 1) and bits_per_byte of the shortest code.
 
     A text that is null or without a letter gets `und`, score 0 and no bits_per_byte; so does every text where nothing could be learned.
     Of languages with equal code lengths the first by code points is taken.
     """
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    rows = df.select(*carried(keep, "lang_pred", "score", "bits_per_byte"), F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     schema = rows.drop("__text", "__letters").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     sent = df.sparkSession.sparkContext.broadcast(model)
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrowtext import parts, texts
+from larkspur.llm.common import carried
 
 ERROR_EVERY = 12
 #: Fixed phrases and their labels.
@@ -103,13 +104,13 @@ class Scanner:
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id",), phrases: dict | None = None, notices: dict | None = None, error_every: int = ERROR_EVERY) -> DataFrame:
-    """The columns keep of df with n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
+    """The columns keep of df (but for those named like results) with n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     n_base counts all places where a phrase's words stand one after another; first_word and last_word are the smallest and largest
     start of these. labels also has those of notices found with errors. score is 1 where a phrase stands, else the likeness of
     the best notice, 1 - edits / length, or 0. A null or empty text has no words, no labels and score 0.
     """
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
+    rows = df.select(*carried(keep, *[f.split()[0] for f in SCHEMA.split(", ")]), F.col(text_col).alias("__text"))
     out = rows.drop("__text").limit(0).schema
     for field in df.sparkSession.createDataFrame([], SCHEMA).schema:
         out = out.add(field)
