@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
+import sys
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 from larkspur.llm.arrowtext import parts
+from larkspur.llm.common import carried
 
 MARK = "▁"
 #: No piece holds a mark after another character, or a line end: pieces stay within these words.
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-BATCH_BYTES = 32 << 20
-MEMO = 1 << 20
+BATCH_BYTES = 24 << 20
+MEMO = 1 << 18
+#: Paths are kept for so many positions of a word; beyond, they are read back from the last pieces.
+KEPT = 64
 #: Longer texts are cut into words as they are read, not all at once.
 LONG = 1 << 20
 
@@ -41,6 +44,7 @@ class Vocabulary:
         """pieces: text, score and whether it is a normal piece, by id; unknown: the id for a character without any."""
         self.ids = {p: i for i, (p, _, normal) in enumerate(pieces) if normal}
         self.rank = {p: score for p, score, normal in pieces if normal}
+        self.written = [i.to_bytes(4, sys.byteorder) for i in range(len(pieces))]
         self.tails: dict[str, tuple[int, ...]] = {}
         long_tails: dict[str, set[int]] = {}
         for p in self.ids:
@@ -113,11 +117,9 @@ class Vocabulary:
                 b = other[j][1]
                 j += 1
 
-    def spell(self, piece: str) -> list[int]:
-        """The ids of a piece: its own, or those of the bytes of a character that has none."""
-        if piece in self.ids:
-            return [self.ids[piece]]
-        return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+    def spell(self, character: str) -> bytes:
+        """The ids of the bytes of a character that has no piece."""
+        return b"".join(self.written[self.bytes[b]] for b in character.encode()) if self.bytes else self.written[self.unknown]
 
     def lengths(self, end: str) -> tuple[int, ...]:
         """The lengths, largest first, of the pieces that a text may end in; end: its last three characters (all, if fewer)."""
@@ -127,13 +129,13 @@ class Vocabulary:
             known = self.tails[end] = (*self.long_tails.get(end, ()), *short)
         return known
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each word."""
-        out: dict[str, tuple[int, ...]] = {}
-        ids, tails, memo = self.ids, self.tails, self.memo
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each word, as 4-byte numbers."""
+        out: dict[str, bytes] = {}
+        ids, tails, memo, written = self.ids, self.tails, self.memo, self.written
         before = ""
         last: list[str] = [""]  # for each prefix of the word at hand the last piece of its path
-        paths: list[tuple[int, ...]] = [()]  # and the ids of the path
+        paths: list[bytes] = [b""]  # and the ids of the path, for the first KEPT positions
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word, strict=False):
@@ -155,9 +157,15 @@ class Vocabulary:
                     known = memo.get((left, piece))
                     if known or known is None and self.adjacent(left, piece):
                         last.append(piece)
-                        paths.append((*paths[start], number) if number is not None else (*paths[start], *self.spell(piece)))
+                        if end < KEPT:
+                            paths.append(paths[start] + (written[number] if number is not None else self.spell(piece)))
                         break
-            out[word] = paths[-1]
+            end, rest = len(word), []
+            while end >= KEPT:
+                piece = last[end]
+                rest.append(written[ids[piece]] if piece in ids else self.spell(piece))
+                end -= len(piece)
+            out[word] = b"".join([paths[end], *reversed(rest)]) if rest else paths[end]
             before = word
         return out
 
@@ -165,26 +173,27 @@ class Vocabulary:
         """The marked words of a text: blanks become marks, and one stands before the first word."""
         if not text:
             return ()
-        marked = MARK + text.replace(" ", MARK)
-        return WORD.findall(marked) if len(marked) < LONG else (m.group() for m in WORD.finditer(marked))
+        if len(text) < LONG and text[0] != " " and "  " not in text and MARK not in text:  # the same words, without the expression
+            return filter(None, (MARK + text.replace(" ", f" {MARK}").replace("\n", " \n ")).split(" "))
+        return (m.group() for m in WORD.finditer(MARK + text.replace(" ", MARK)))
 
-    def encode(self, texts: list[str]) -> list[array]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         known = self.encode_words(set(chain.from_iterable(map(self.words, texts))))
-        return [array("i", chain.from_iterable(map(known.__getitem__, self.words(text)))) for text in texts]
+        return [np.frombuffer(b"".join(map(known.__getitem__, self.words(text))), np.int32) for text in texts]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, without the blank before its first word."""
-        return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(self.spelled.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple = ("doc_id",), digest: bool = False) -> DataFrame:
-    """The columns keep of df, n_pieces and pieces (the ids); with digest, instead of pieces: pieces_sha256 (of the ids as 4-byte little-endian numbers) and round_trip, whether decoding gives the text back.
+    """The columns keep of df (but for those named like results), n_pieces and pieces (the ids); with digest, instead of pieces: pieces_sha256 (of the ids as 4-byte little-endian numbers) and round_trip, whether decoding gives the text back.
 
     A null or empty text has no pieces. The mark U+2581 itself is encoded as a blank, as the model does, and
     so comes back as a blank: round_trip compares with the text so written.
     """
-    rows = df.select(*[df[c] for c in keep], df[text_col].alias("__text"))
+    rows = df.select(*carried(keep, "n_pieces", "pieces", "pieces_sha256", "round_trip"), df[text_col].alias("__text"))
     schema = rows.drop("__text").schema.add("n_pieces", "long")
     schema = schema.add("pieces_sha256", "string").add("round_trip", "boolean") if digest else schema.add("pieces", ArrayType(IntegerType()))
     sent = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
@@ -197,18 +206,18 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple =
             got = vocabulary.encode(texts)
             counts = pa.array(map(len, got), pa.int64())
             if digest:
-                sha = pa.array([hashlib.sha256(np.frombuffer(x, np.int32).astype("<i4").tobytes()).hexdigest() for x in got], pa.string())
+                sha = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in got], pa.string())
                 same = pa.array([vocabulary.decode(x) == t.replace(MARK, " ") for x, t in zip(got, texts, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*columns, counts, sha, same], names=schema.names)
             else:
-                yield pa.RecordBatch.from_arrays([*columns, counts, pa.array([np.frombuffer(x, np.int32) for x in got], pa.list_(pa.int32()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(got, pa.list_(pa.int32()))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, pieces_col: str = "pieces", keep: tuple = ("doc_id",)) -> DataFrame:
     """The columns keep of df and text, decoded from pieces; null for null."""
-    rows = df.select(*[df[c] for c in keep], df[pieces_col].alias("__pieces"))
+    rows = df.select(*carried(keep, "text"), df[pieces_col].alias("__pieces"))
     schema = rows.drop("__pieces").schema.add("text", "string")
     sent = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
 
