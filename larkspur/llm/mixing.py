@@ -19,7 +19,7 @@ from larkspur.llm.common import cut
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-BUCKET_BITS = 12
+BUCKET_DIGITS = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Where the mix ends in each source's queue is broadcast for up to so many sources, else joined by shuffling.
 BROADCAST_SOURCES = 100_000
@@ -29,9 +29,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def shuffled(ident: Column, seed: int) -> Column:
+    """The place of a document in its shuffled queue: the first 64 bits, in hexadecimal, of the md5 of its id and the seed."""
+    return F.substring(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 16)
+
+
 def bucket(hashed: Column) -> Column:
-    """The leading bits; queues go by bucket, then by hash, id and size."""
-    return F.shiftrightunsigned(hashed, 64 - BUCKET_BITS)
+    """The leading bits."""
+    return F.substring(hashed, 1, BUCKET_DIGITS)
 
 
 def targets(sizes: DataFrame, epochs: int = EPOCHS, weights: tuple = WEIGHTS) -> DataFrame:
@@ -61,7 +66,7 @@ def finish(epoch: int) -> Column:
 def queues(df: DataFrame, text_col: str, id_col: str, source_col: str, seed: int, epochs: int, weights: tuple) -> tuple[DataFrame, float]:
     """For each row its id, source, hash (the place in the shuffled queue), size, source_size, target, weight and __sum (words of its source up to its end); and the last finish time of the mix."""
     sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    sized = cut(sized.withColumn("hash", F.xxhash64("id", F.lit(seed))).withColumn("bucket", bucket(F.col("hash"))), "mix-sizes")
+    sized = cut(sized.withColumn("hash", shuffled(F.col("id"), seed)).withColumn("bucket", bucket(F.col("hash"))), "mix-sizes")
     aims = cut(targets(sized, epochs, weights), "mix-targets")
     group = F.struct("source", "bucket")
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -92,13 +97,13 @@ def mixed_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     In each pass the mix takes a source's queue up to one place: a document is taken where its own place is not beyond.
     """
     summed, last = queues(df, text_col, id_col, source_col, seed, epochs, weights)
-    place = F.struct(bucket(F.col("hash")).alias("bucket"), "hash", "id", "size")
+    place = F.struct("hash", "id", "size")
     ends = cut(summed.groupBy("source").agg(*[F.max(F.when(finish(e) <= F.lit(last), place)).alias(f"__end{e}") for e in range(epochs)]).withColumnRenamed("source", "__of"), "mix-ends")
     few = ends.count() <= BROADCAST_SOURCES
     rows = df.withColumn("__size", n_words(F.col(text_col)))
     rows = rows.join(F.broadcast(ends) if few else ends, F.col(source_col).eqNullSafe(F.col("__of")))
-    hashed = F.xxhash64(F.col(id_col), F.lit(seed))
-    own = F.struct(bucket(hashed).alias("bucket"), hashed.alias("hash"), F.col(id_col).alias("id"), F.col("__size").alias("size"))
+    hashed = shuffled(F.col(id_col), seed)
+    own = F.struct(hashed.alias("hash"), F.col(id_col).alias("id"), F.col("__size").alias("size"))
     times = sum((F.when(own <= F.col(f"__end{e}"), 1).otherwise(0) for e in range(epochs)), F.lit(0))
     return rows.where("__size > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in df.columns])
 

@@ -32,8 +32,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Of the decided urls those with crc32 of the url modulo 5 of this calibrate, the others teach.
-CALIBRATE = 0
+#: Of the decided urls those whose md5 begins with one of these digits calibrate, the others teach.
+CALIBRATE = ("0", "1", "2")
 OUT = ("host", "path", "rule", "verdict", "ratio")
 
 
@@ -117,7 +117,7 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: tuple = RULES) -> Da
     without a rule where the rules allow or block none at all. Columns of df that have the names of results are replaced.
     """
     rows = ruled(parsed(df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in OUT]), url_col), rules)
-    decided = rows.where("__said IS NOT NULL").select("__said", F.col("__rest"), (F.crc32(F.col("__url").cast("binary")) % 5 == CALIBRATE).alias("__held"))
+    decided = rows.where("__said IS NOT NULL").select("__said", F.col("__rest"), F.substring(F.md5("__url"), 1, 1).isin(*CALIBRATE).alias("__held"))
     counted = decided.where("NOT __held").select("__said", F.explode(grams(symbols(F.col("__rest")))).alias("gram")).groupBy("__said", "gram").agg(F.count("*").alias("n")).toPandas()  # 2 * SYMBOLS^3 rows at most
     teaches = {"allow", "block"} <= set(counted["__said"])
     table = ratios(counted) if teaches else np.zeros(SYMBOLS**3, np.int64)
