@@ -66,7 +66,7 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # aggregates
 
-MONEY = "CAST(sum(CAST({0} AS DECIMAL(15,2))) AS DOUBLE)"
+MONEY = "sum_money({0})"
 text("plain_aggregate", f"SELECT count(*) AS n, count(o_custkey) AS nc, {MONEY.format('o_totalprice')} AS total, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
 text("aggregate_empty", "SELECT count(*) AS n, sum(l_quantity) AS s, max(l_tax) AS m FROM lineitem WHERE l_orderkey < 0")
 text("hash_group", f"SELECT l_suppkey, l_returnflag, count(*) AS n, {MONEY.format('l_quantity')} AS q FROM lineitem GROUP BY l_suppkey, l_returnflag")
@@ -224,20 +224,18 @@ def tablesample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # benchmark shapes
 
-D = "CAST({0} AS DECIMAL(15,2))"
-REVENUE = "CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))) AS DOUBLE)"
-text("tpch_q1", f"""SELECT l_returnflag, l_linestatus, CAST(sum({D.format('l_quantity')}) AS DOUBLE) AS sum_qty, CAST(sum({D.format('l_extendedprice')}) AS DOUBLE) AS sum_base_price,
-  {REVENUE} AS sum_disc_price, CAST(sum({D.format('l_quantity')}) AS DOUBLE) / count(*) AS avg_qty, CAST(sum({D.format('l_extendedprice')}) AS DOUBLE) / count(*) AS avg_price,
-  CAST(sum({D.format('l_discount')}) AS DOUBLE) / count(*) AS avg_disc, count(*) AS count_order
+REVENUE = "sum_revenue()"
+text("tpch_q1", """SELECT l_returnflag, l_linestatus, sum_money(l_quantity) AS sum_qty, sum_money(l_extendedprice) AS sum_base_price, sum_revenue() AS sum_disc_price,
+  sum_money(l_quantity) / count(*) AS avg_qty, sum_money(l_extendedprice) / count(*) AS avg_price, sum_money(l_discount) / count(*) AS avg_disc, count(*) AS count_order
   FROM lineitem WHERE l_shipdate <= timestamp '2001-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""")
 text("tpch_q3", f"SELECT l_orderkey, {REVENUE} AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < timestamp '1998-03-15 00:00:00' AND l_shipdate > timestamp '1998-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10")
 text("tpch_q4", "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= timestamp '1997-07-01 00:00:00' AND o_orderdate < timestamp '1997-10-01 00:00:00' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30) GROUP BY o_orderpriority ORDER BY o_orderpriority")
 text("tpch_q5", f"SELECT n_name, {REVENUE} AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND o_orderdate >= timestamp '1996-01-01 00:00:00' GROUP BY n_name ORDER BY revenue DESC")
-text("tpch_q6", "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(15,2))) AS DOUBLE) AS revenue FROM lineitem WHERE l_shipdate >= timestamp '1996-01-01 00:00:00' AND l_shipdate < timestamp '1997-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+text("tpch_q6", "SELECT sum_product(l_extendedprice, l_discount) AS revenue FROM lineitem WHERE l_shipdate >= timestamp '1996-01-01 00:00:00' AND l_shipdate < timestamp '1997-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 text("tpch_q10", f"SELECT c_custkey, c_name, {REVENUE} AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20")
 text("tpch_q12", "SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= timestamp '1996-01-01 00:00:00' GROUP BY l_linestatus")
 text("tpch_q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '5-LOW' GROUP BY c_custkey) t GROUP BY c_count")
-text("tpch_q14", "SELECT 100e0 * CAST(sum(CASE WHEN p_type LIKE 'PROMO%' THEN CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2))) ELSE 0 END) AS DOUBLE) / CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))) AS DOUBLE) AS promo FROM lineitem JOIN part ON l_partkey = p_partkey")
+text("tpch_q14", "SELECT 100e0 * sum_revenue(p_type LIKE 'PROMO%') / sum_revenue() AS promo FROM lineitem JOIN part ON l_partkey = p_partkey")
 text("tpch_q17", "SELECT count(*) AS n FROM lineitem l JOIN part ON p_partkey = l_partkey WHERE p_size < 10 AND l_quantity < (SELECT 0.4 * avg(i.l_quantity) FROM lineitem i WHERE i.l_partkey = p_partkey)")
 text("tpch_q18", f"SELECT c_custkey, o_orderkey, o_totalprice, {MONEY.format('l_quantity')} AS q FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_custkey, o_orderkey, o_totalprice ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 text("tpch_q19", f"SELECT {REVENUE} AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND ((p_size BETWEEN 1 AND 10 AND l_quantity < 11) OR (p_size BETWEEN 20 AND 30 AND l_quantity > 40))")

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_views(spark: SparkSession, sf_dir: str, text: str) -> None:
-    """Make views of the tables that text names."""
+    """Make views of the tables that text names: plans read the files as they are when a query is built."""
     for name in TABLES:
         if re.search(rf"\b{name}\b", text):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
