@@ -233,6 +233,35 @@ def arrow_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.name, f.metadata[b"sql_type"].decode()) for f in schema], "column_name string, sql_type string")
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (1, 5, 33)")
+def arrow_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pyarrow as pa
+
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return arrow.execute_many(spark, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = :k", pa.table({"k": [1, 5, 33]}))
+
+
+@query("SELECT count(*) AS n, count(*) AS again FROM lineitem WHERE l_orderkey < 50")
+def condition_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.sources.condcache import ConditionCache
+
+    path = fresh(spark, "sorted")
+    table(spark, sf_dir, "lineitem").select("l_orderkey").repartitionByRange(4, "l_orderkey").write.parquet(path)
+    cache = ConditionCache(spark)
+    first = cache.read(path, "l_orderkey < 50").agg(F.count("*").alias("n"))
+    second = cache.read(path, "l_orderkey < 50").agg(F.count("*").alias("again"))
+    assert cache.skipped(path, "l_orderkey < 50") == 3
+    return first.join(F.broadcast(second))
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+def exchange_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redistribution by key: the aggregation above needs no other exchange."""
+    out = table(spark, sf_dir, "lineitem").select("l_suppkey").repartition("l_suppkey").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    return out
+
+
 # plans
 
 

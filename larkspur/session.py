@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SETTINGS = {
@@ -26,8 +27,21 @@ def session(app: str = "larkspur", master: str | None = None, **settings: str) -
     return builder.getOrCreate()
 
 
+#: The columns of tables that this process has read, by application and path; as in a catalog they hold until refreshed.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
+def refresh() -> None:
+    """Forget the columns of all tables, for files that have been replaced by ones with others."""
+    _SCHEMAS.clear()
 
 
 def with_views(spark: SparkSession, sf_dir: str, text: str) -> None:

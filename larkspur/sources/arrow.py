@@ -41,3 +41,16 @@ def ingest(spark: SparkSession, batches: pa.Table | Iterable[pa.RecordBatch], sc
                 raise Unfit(f"column {field.name}: {e}") from e
         table = pa.table(columns, schema=schema)
     return spark.createDataFrame(table)
+
+
+def execute_many(spark: SparkSession, text: str, parameters: pa.Table) -> DataFrame:
+    """A query with named parameters, run once for each row of an Arrow table of them; the results one after another."""
+    from larkspur.plans.dialect import sql
+
+    out = None
+    for row in parameters.to_pylist():
+        one = sql(spark, text, row)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise Unfit("no parameters")
+    return out
