@@ -11,15 +11,15 @@ from larkspur.llm import exact_dedup, language_id, mixing, near_join, sentencepi
 from larkspur.llm.common import shared_dir, table
 from larkspur.llm.queries import tokenizer
 
-#: A text that its language codes in as many bits as it has is in none of the languages.
-MOST_BITS_PER_BYTE = 8.0
+#: A text of which no language is likelier than this is rejected, as is one without letters.
+LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages: neither without letters nor incompressible under every language's model."""
+    """Documents in one of the languages."""
     model = language_id.train(docs, language_id.learnable())
     found = language_id.identify(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < MOST_BITS_PER_BYTE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
