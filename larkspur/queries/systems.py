@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from larkspur.functions import geometry, vectors
+from larkspur.functions.geometry import write_point, write_polygon
 from larkspur.plans import explain
 from larkspur.queries.registry import query
 from larkspur.session import table
 from larkspur.sources import arrow
 from larkspur.sources.snapshots import SnapshotTable
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
+
 
 def fresh(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
@@ -78,13 +83,13 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     def square(x, y, s):
         import pandas as pd
 
-        return pd.Series([geometry.write_polygon([[(a, b), (a + c, b), (a + c, b + c), (a, b + c), (a, b)]]) for a, b, c in zip(x, y, s, strict=True)])
+        return pd.Series([write_polygon([[(a, b), (a + c, b), (a + c, b + c), (a, b + c), (a, b)]]) for a, b, c in zip(x, y, s, strict=True)])
 
     @F.pandas_udf(BinaryType())
     def centre(x, y, s):
         import pandas as pd
 
-        return pd.Series([geometry.write_point(a + c / 2, b + c / 2, 4326) for a, b, c in zip(x, y, s, strict=True)])
+        return pd.Series([write_point(a + c / 2, b + c / 2, 4326) for a, b, c in zip(x, y, s, strict=True)])
 
     corner = [F.expr(f"CAST({e} AS DOUBLE)") for e in (X0, Y0, SIDE)]
     return table(spark, sf_dir, "nation").select("n_nationkey", square(*corner).alias("g"), centre(*corner).alias("p")).withColumn("box", geometry.box("g"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
+
 
 def read(spark: SparkSession, location: str, schema: StructType | None = None, glob: str = "*.parquet", recursive: bool = True) -> DataFrame:
     """A file, folder or glob. With a schema its columns are matched by name, then by name in any case; missing ones are null."""
