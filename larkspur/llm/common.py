@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made where spark.checkpoint.dir is unset, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="larkspur-")
+        place = f"file://{_OWN[app]}"
     return place
 
 
@@ -30,6 +40,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows in this session: texts are long, and the default of 10,000 rows fills executors with buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def shipped(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """A function that gives thing in Python workers: its contents are broadcast, its class goes along by value."""
+    kind, sent = type(thing), spark.sparkContext.broadcast(vars(thing) if thing is not None else None)
+
+    def get() -> object:
+        if sent.value is None:
+            return None
+        out = kind.__new__(kind)
+        out.__dict__ = sent.value
+        return out
+
+    return get
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

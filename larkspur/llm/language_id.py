@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrowtext import joined, parts, texts
-from larkspur.llm.common import carried, crc_mod
+from larkspur.llm.common import carried, crc_mod, modest, shipped
 
 ORDER = 3
 PAD = b"\n" * ORDER
@@ -132,6 +132,7 @@ def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     if not upto:
         return None
     sample = labelled.where(place <= F.element_at(F.create_map(*[F.lit(x) for pair in upto.items() for x in pair]), F.col(lang_col)))
+    modest(df.sparkSession)
     counted = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, n int, gram long, seen long")
     pdf = counted.groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen")).toPandas()  # of the bounded sample
     if not len(pdf):
@@ -153,12 +154,13 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", keep: t
     A text that is null or without a letter gets `und`, score 0 and no bits_per_byte; so does every text where nothing could be learned.
     Of languages with equal code lengths the first by code points is taken.
     """
+    modest(df.sparkSession)
     rows = df.select(*carried(keep, "lang_pred", "score", "bits_per_byte"), F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     schema = rows.drop("__text", "__letters").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = sent()
         for batch in parts(batches, "__text"):
             told = np.array(batch.column("__letters").to_pylist(), bool) & (model is not None)
             items = texts(batch.column("__text"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrowtext import parts, texts
-from larkspur.llm.common import carried
+from larkspur.llm.common import carried, modest
 
 ERROR_EVERY = 12
 #: Fixed phrases and their labels.
@@ -110,6 +110,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text", keep: tuple = ("doc_id"
     start of these. labels also has those of notices found with errors. score is 1 where a phrase stands, else the likeness of
     the best notice, 1 - edits / length, or 0. A null or empty text has no words, no labels and score 0.
     """
+    modest(df.sparkSession)
     rows = df.select(*carried(keep, *[f.split()[0] for f in SCHEMA.split(", ")]), F.col(text_col).alias("__text"))
     out = rows.drop("__text").limit(0).schema
     for field in df.sparkSession.createDataFrame([], SCHEMA).schema:

@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from larkspur.llm.arrowtext import parts, texts
-from larkspur.llm.common import cut
+from larkspur.llm.arrowtext import parts, released, texts
+from larkspur.llm.common import cut, modest
 from larkspur.llm.components import components
 from larkspur.llm.shingles import minhashes, set_key, shingle_sets
 
@@ -38,6 +38,8 @@ RECALL = 0.999
 DEPTH = 4
 LEAF = 256
 BLOCK = 512
+#: Rows that a Python worker takes from a batch at a time.
+ROWS = 512
 #: Sets are fetched through a broadcast of their documents' ids up to this many of them, else by a shuffled join.
 BROADCAST_IDS = 500_000
 
@@ -57,6 +59,7 @@ def children(node: Column, sig: Column, n: int) -> Column:
 
 def signed(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """id, key (the name of the set), n (its size) and sig of each row; n is 0 for a text without words."""
+    modest(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
     schema = rows.drop("__text").schema.add("key", BinaryType()).add("n", LongType()).add("sig", ArrayType(IntegerType()))
 
@@ -73,7 +76,7 @@ def signed(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def leaves(sets: DataFrame, runs: int) -> DataFrame:
     """node, key, members: the leaves with two sets or more that each set comes to."""
     roots = F.flatten(F.array(*[children(F.xxhash64(F.lit(r), F.lit("run")), F.col("sig"), MINHASHES) for r in range(runs)]))
-    front = cut(sets.select(F.explode(F.array_distinct(roots)).alias("node"), "key"), "paths")
+    front = sets.select(F.explode(F.array_distinct(roots)).alias("node"), "key")
     found = None
     for depth in range(1, DEPTH + 1):
         counts = front.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
@@ -108,10 +111,7 @@ def grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pd.DataFrame], pd
             if len(group) > 1 and (got := work(group)) is not None:
                 out.append(got)
 
-    for batch in batches:
-        pdf = batch.to_pandas()
-        if not len(pdf):
-            continue
+    for pdf in (batch.slice(low, ROWS).to_pandas() for batch in batches for low in range(0, batch.num_rows, ROWS)):
         names = pdf[["node", "x", "y"]].to_numpy()
         cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(pdf)]
         for low, high in zip(cuts, cuts[1:], strict=False):
@@ -122,6 +122,7 @@ def grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pd.DataFrame], pd
         if out:
             yield pd.concat(out)
             out.clear()
+        released()
     close()
     if out:
         yield pd.concat(out)
@@ -231,8 +232,7 @@ def similar_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     linked = cut(together(filled).mapInArrow(lambda it: as_batches(grouped(it, lambda g: verified(g, threshold, least)), None), out), "near-linked")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     group = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    known = cut(rows.where("n > 0").select("id", "key"), "near-rows")
-    full = known.join(sets.select("key", "copies"), "key").join(links, "key", "left").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    full = rows.where("n > 0").select("id", "key").join(sets.select("key", "copies"), "key").join(links, "key", "left").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = full.groupBy("component").agg(F.min("id").alias("class_id"))
     some = full.join(names, "component").select("id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     none = rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from larkspur.llm.arrowtext import joined, parts, texts
-from larkspur.llm.common import crc_mod, cut
+from larkspur.llm.common import crc_mod, cut, modest, shipped
 
 FEATURES = 192
 BANDWIDTH = 2.5
@@ -58,6 +58,7 @@ N_STATISTICS = 9 + 3 + 2 + 2 + 1
 
 def measured(df: DataFrame, text_col: str, keep: tuple) -> DataFrame:
     """The columns keep and stats, the statistics of the text; a null text counts as empty."""
+    modest(df.sparkSession)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
     schema = rows.drop("__text").schema.add("stats", ArrayType(DoubleType()))
 
@@ -120,14 +121,14 @@ def fit(labelled: DataFrame, calibrates: Column) -> Classifier:
     mean = np.array([float(got[f"s{i}"]) / (1 << 20) / n for i in range(N_STATISTICS)])
     square = np.array([float(got[f"q{i}"]) / (1 << 20) / n for i in range(N_STATISTICS)])
     model = Classifier(mean, np.sqrt(np.maximum(square - mean**2, 1e-6)))
-    sent = spark.sparkContext.broadcast(model)
+    sent = shipped(spark, model)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = len(sent.value.phase) + 2
+        width = len(sent().phase) + 2
         total = np.zeros((width, width), np.int64)
         for pdf in batches:
             if len(pdf):
-                rows = np.concatenate([sent.value.features(stacked(pdf)), pdf.quality.to_numpy(np.int64)[:, None] << GRAIN], 1)
+                rows = np.concatenate([sent().features(stacked(pdf)), pdf.quality.to_numpy(np.int64)[:, None] << GRAIN], 1)
                 total += rows.T @ rows
         i, j = np.triu_indices(width)
         yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
@@ -139,11 +140,11 @@ def fit(labelled: DataFrame, calibrates: Column) -> Classifier:
     count = full[-2, -2]
     if count:
         model.weights = np.linalg.solve(full[:-1, :-1] + RIDGE * count * np.eye(width - 1), full[:-1, -1])
-    sent = spark.sparkContext.broadcast(model)
+    sent = shipped(spark, model)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bins = np.clip(np.floor((sent.value.raw(stacked(pdf)) + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int64)
+            bins = np.clip(np.floor((sent().raw(stacked(pdf)) + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int64)
             yield pd.DataFrame({"bin": bins, "quality": pdf.quality.to_numpy(np.int64)}).groupby("bin").quality.agg(["sum", "count"]).reset_index().rename(columns={"sum": "ones", "count": "n"})
 
     curve = labelled.where(calibrates).select("stats", "quality").mapInPandas(scored, "bin long, ones long, n long").groupBy("bin").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).orderBy("bin").toPandas()  # BINS rows at most
@@ -165,14 +166,14 @@ def score_quality(df: DataFrame, labels: DataFrame, learn: Column, text_col: str
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("quality"))
     labelled = cut(stats.where(learn).join(known, F.col(id_col) == F.col("__id")).select("stats", "quality", (crc_mod(id_col, 7) == CALIBRATE).alias("calibrates")), "quality-labelled")
     model = fit(labelled, F.col("calibrates"))
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(df.sparkSession, model)
     schema = stats.drop("stats").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column("stats").flatten()).reshape(batch.num_rows, -1)
-                score = np.clip(sent.value.score(x), 0, 1)
+                score = np.clip(sent().score(x), 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
     return stats.mapInArrow(run, schema)

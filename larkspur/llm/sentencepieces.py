@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 from larkspur.llm.arrowtext import parts
-from larkspur.llm.common import carried
+from larkspur.llm.common import carried, modest, shipped
 
 MARK = "▁"
 #: No piece holds a mark after another character, or a line end: pieces stay within these words.
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 MEMO = 1 << 18
 #: Paths are kept for so many positions of a word; beyond, they are read back from the last pieces.
 KEPT = 64
@@ -193,13 +193,14 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple =
     A null or empty text has no pieces. The mark U+2581 itself is encoded as a blank, as the model does, and
     so comes back as a blank: round_trip compares with the text so written.
     """
+    modest(df.sparkSession)
     rows = df.select(*carried(keep, "n_pieces", "pieces", "pieces_sha256", "round_trip"), df[text_col].alias("__text"))
     schema = rows.drop("__text").schema.add("n_pieces", "long")
     schema = schema.add("pieces_sha256", "string").add("round_trip", "boolean") if digest else schema.add("pieces", ArrayType(IntegerType()))
-    sent = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
+    sent = shipped(df.sparkSession, Vocabulary.load(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent.value
+        vocabulary = sent()
         for batch in parts(batches, "__text", BATCH_BYTES):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             columns = [batch.column(c) for c in range(batch.num_columns - 1)]
@@ -219,11 +220,12 @@ def decode(df: DataFrame, model_path: str, pieces_col: str = "pieces", keep: tup
     """The columns keep of df and text, decoded from pieces; null for null."""
     rows = df.select(*carried(keep, "text"), df[pieces_col].alias("__pieces"))
     schema = rows.drop("__pieces").schema.add("text", "string")
-    sent = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
+    sent = shipped(df.sparkSession, Vocabulary.load(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent()
         for batch in batches:
-            texts = [None if x is None else sent.value.decode(x) for x in batch.column("__pieces").to_pylist()]
+            texts = [None if x is None else vocabulary.decode(x) for x in batch.column("__pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(batch.num_columns - 1)], pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
