@@ -30,7 +30,7 @@ MARK = "▁"
 #: No piece holds a mark after another character, or a line end: pieces stay within these words.
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 BATCH_BYTES = 16 << 20
-MEMO = 1 << 18
+MEMO = 1 << 19
 #: Paths are kept for so many positions of a word; beyond, they are read back from the last pieces.
 KEPT = 64
 #: Longer texts are cut into words as they are read, not all at once.
@@ -55,7 +55,9 @@ class Vocabulary:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, normal) in enumerate(pieces) if not normal and re.fullmatch("<0x[0-9A-F]{2}>", p)}
         spelled = {i: bytes([b]) for b, i in self.bytes.items()}
         self.spelled = [spelled.get(i, p.replace(MARK, " ").encode() if normal else b"") for i, (p, _, normal) in enumerate(pieces)]
-        self.memo: dict[tuple[str, str], bool] = {}
+        self.names = [p for p, _, _ in pieces]
+        self.others: dict[str, int] = {}  # characters without a piece: numbers beyond the pieces'
+        self.memo: dict[int, bool] = {}
         self.histories: dict[str, list[tuple[float, str, str]] | None] = {"": []}
 
     @classmethod
@@ -83,17 +85,22 @@ class Vocabulary:
         out = self.histories[piece] = steps if len(parts) == 1 else None
         return out
 
-    def adjacent(self, left: str, right: str) -> bool:
-        """Whether merging leaves right, alone or after left, as it is; left may be empty.
+    def number(self, character: str) -> int:
+        """A number for a character that has no piece."""
+        if character not in self.others:
+            self.others[character] = len(self.names)
+            self.names.append(character)
+        return self.others[character]
+
+    def adjacent(self, left: int, right: int) -> bool:
+        """Whether merging leaves the piece right, alone or after the piece left, as it is; left is -1 at the start of a word.
 
         The merges within left and within right go on independently, the better-scored next one first, until one across the
         boundary is better than both.
         """
-        known = self.memo.get((left, right))
-        if known is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            known = self.memo[left, right] = self.undisturbed(left, right)
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        known = self.memo[left << 32 | right] = self.undisturbed(self.names[left] if left >= 0 else "", self.names[right])
         return known
 
     def undisturbed(self, left: str, right: str) -> bool:
@@ -132,9 +139,9 @@ class Vocabulary:
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of each word, as 4-byte numbers."""
         out: dict[str, bytes] = {}
-        ids, tails, memo, written = self.ids, self.tails, self.memo, self.written
+        ids, tails, memo, written, pieces = self.ids, self.tails, self.memo, self.written, len(self.written)
         before = ""
-        last: list[str] = [""]  # for each prefix of the word at hand the last piece of its path
+        last: list[int] = [-1]  # for each prefix of the word at hand the last piece of its path
         paths: list[bytes] = [b""]  # and the ids of the path, for the first KEPT positions
         for word in sorted(words):
             shared = 0
@@ -149,22 +156,23 @@ class Vocabulary:
                     start = end - length
                     if start < 0:
                         continue
-                    piece = word[start:end]
-                    number = ids.get(piece)
-                    if number is None and length > 1:
-                        continue
+                    number = ids.get(word[start:end])
+                    if number is None:
+                        if length > 1:
+                            continue
+                        number = self.number(word[start:end])
                     left = last[start]
-                    known = memo.get((left, piece))
-                    if known or known is None and self.adjacent(left, piece):
-                        last.append(piece)
+                    known = memo.get(left << 32 | number)
+                    if known or known is None and self.adjacent(left, number):
+                        last.append(number)
                         if end < KEPT:
-                            paths.append(paths[start] + (written[number] if number is not None else self.spell(piece)))
+                            paths.append(paths[start] + (written[number] if number < pieces else self.spell(word[start:end])))
                         break
             end, rest = len(word), []
             while end >= KEPT:
-                piece = last[end]
-                rest.append(written[ids[piece]] if piece in ids else self.spell(piece))
-                end -= len(piece)
+                number = last[end]
+                rest.append(written[number] if number < pieces else self.spell(self.names[number]))
+                end -= len(self.names[number])
             out[word] = b"".join([paths[end], *reversed(rest)]) if rest else paths[end]
             before = word
         return out
