@@ -172,6 +172,31 @@ def test_lines_within_three_bits_meet(spark):
     assert gone[2] == [0] and gone[1] == []
 
 
+def test_lines_that_can_be_found_are(spark):
+    """Recall against brute force: of the pairs of lines that differ in at most NEAR bits and are similar, so many share a key; all within five bits do."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    named = line_dedup.named(line_dedup.lines_of(docs, "text", "doc_id")).join(line_dedup.lines_of(docs, "text", "doc_id").select("row", "at", "norm"), ["row", "at"])
+    sims = {r.norm: (r.h, r.s) for r in named.where(f"n >= {line_dedup.MIN_WORDS}").select("norm", "h", "s").collect()}
+    lines = sorted((tuple(norm.split(" ")) for norm in sims), key=len)
+    often, by, near = Counter(p for words in lines for p in set(zip(words, words[1:], strict=False))), defaultdict(list), []
+    for n, words in enumerate(lines):  # an edit takes away two pairs of words at most, so similar lines share one of their rarest
+        pairs, most = sorted(set(zip(words, words[1:], strict=False)), key=lambda p: (often[p], p)), len(words) * 0.2 + 1e-9
+        for m in {m for p in pairs[: 2 * int(most) + 1] for m in by[p] if len(words) - len(lines[m]) <= most}:
+            (ha, sa), (hb, sb) = sims[" ".join(lines[m])], sims[" ".join(words)]
+            gap = ((sa ^ sb) & (2**64 - 1)).bit_count()
+            if gap <= line_dedup.NEAR and plain_distance(lines[m], words) <= most:
+                near.append((gap, frozenset((ha, hb))))
+        for p in pairs[: 2 * int(len(words) * 0.25 + 1e-9) + 1]:
+            by[p].append(n)
+    distinct = spark.createDataFrame([(h, s, 5) for h, s in sims.values()], "h long, s long, n int")
+    groups = defaultdict(set)
+    for r in line_dedup.meetings(distinct).collect():
+        groups[r.key].add(r.h)
+    met = {frozenset((a, b)) for g in groups.values() for a in g for b in g if a != b}
+    assert len(near) > 300 and all(pair in met for gap, pair in near if gap <= 5)
+    assert sum(pair in met for _, pair in near) >= 0.7 * len(near)
+
+
 def plain_sim(words):
     from pyspark.sql import SparkSession
 
