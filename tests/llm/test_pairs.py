@@ -214,6 +214,13 @@ def test_sim_hash_is_the_majority(spark):
     assert got == {i: plain_sim(t.split()) for i, t in enumerate(texts)}
 
 
+def test_very_long_lines_are_signed_by_all_words(spark):
+    words = [f"word{i * i % 997}" for i in range(40_000)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, ["another", *words], words[:17_000], ["another", *words[:17_000]]))], "doc_id long, text string")
+    got = {r["id"]: r.s for r in line_dedup.named(line_dedup.lines_of(df, "text", "doc_id")).collect()}
+    assert got == {0: plain_sim(words), 1: plain_sim(["another", *words]), 2: plain_sim(words[:17_000]), 3: plain_sim(["another", *words[:17_000]])}
+
+
 def test_lines_odd_rows(spark):
     rows = [(1, "Same  line\nb"), (2, "same\tLINE \n\n"), (3, None), (4, ""), (5, "w " * 40_000), (5, "w " * 40_000), (None, "b"), (6, "of it is an at\nof it is an as"), (7, "longest " * 40_000)]
     df = spark.createDataFrame([(i, t, 1, "h") for i, t in rows], "doc_id long, text string, at int, h string")
