@@ -221,6 +221,13 @@ def test_very_long_lines_are_signed_by_all_words(spark):
     assert got == {0: plain_sim(words), 1: plain_sim(["another", *words]), 2: plain_sim(words[:17_000]), 3: plain_sim(["another", *words[:17_000]])}
 
 
+def test_lines_of_short_words_only_are_compared(spark):
+    codes = [f"{i * 37 % 1000}" for i in range(200)]
+    rows = [(1, " ".join(codes)), (2, " ".join([*codes[:90], "x", *codes[91:]])), (3, " ".join(reversed(codes)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in line_dedup.line_report(df).collect()} == {1: [], 2: [0], 3: []}
+
+
 def test_lines_odd_rows(spark):
     rows = [(1, "Same  line\nb"), (2, "same\tLINE \n\n"), (3, None), (4, ""), (5, "w " * 40_000), (5, "w " * 40_000), (None, "b"), (6, "of it is an at\nof it is an as"), (7, "longest " * 40_000)]
     df = spark.createDataFrame([(i, t, 1, "h") for i, t in rows], "doc_id long, text string, at int, h string")
