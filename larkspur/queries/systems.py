@@ -192,18 +192,18 @@ def dml_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read()
 
 
-@query("SELECT o_orderkey, o_totalprice AS price, CAST(7 AS INTEGER) AS extra, CAST(o_orderkey AS VARCHAR) AS note FROM orders WHERE o_orderkey < 1000 UNION ALL SELECT o_orderkey, o_totalprice, 8, 'x' FROM orders WHERE o_orderkey < 100".replace("CAST(o_orderkey AS VARCHAR) AS note", "CAST(NULL AS VARCHAR) AS note"))
+@query("SELECT o_orderkey, o_totalprice AS price, CAST(7 AS INTEGER) AS extra, CAST(o_orderkey AS VARCHAR) AS note FROM orders UNION ALL SELECT o_orderkey, o_totalprice, 8, 'x' FROM orders".replace("CAST(o_orderkey AS VARCHAR) AS note", "CAST(NULL AS VARCHAR) AS note"))
 def dml_schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.types import IntegerType, StringType
 
     rows = table(spark, sf_dir, "orders").select(*ORDERS)
     t = SnapshotTable.create(spark, fresh(spark, "orders"), rows.schema)
-    t.insert(rows.where("o_orderkey < 1000"))
+    t.insert(rows)
     t.rename_column("o_totalprice", "price")
     t.drop_column("o_orderstatus")
     t.add_column("extra", IntegerType(), 7)
     t.add_column("note", StringType())
-    t.insert(rows.where("o_orderkey < 100").select("o_orderkey", F.col("o_totalprice").alias("price"), F.lit(8).alias("extra"), F.lit("x").alias("note")))
+    t.insert(rows.select("o_orderkey", F.col("o_totalprice").alias("price"), F.lit(8).alias("extra"), F.lit("x").alias("note")))
     return t.read()
 
 
