@@ -170,13 +170,13 @@ def exclude_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 text("order_nulls", "SELECT id, x FROM (VALUES (1, 3), (2, NULL), (3, 1)) AS v(id, x) ORDER BY x LIMIT 2")
 text("order_nulls_desc", "SELECT id, x FROM (VALUES (1, 3), (2, NULL), (3, 1)) AS v(id, x) ORDER BY x DESC LIMIT 2", "SELECT id, x FROM (VALUES (1, 3), (2, NULL), (3, 1)) AS v(id, x) ORDER BY x DESC NULLS FIRST LIMIT 2")
-text("order_multi", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey LIMIT 50", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC NULLS FIRST, o_totalprice, o_orderkey LIMIT 50")
+text("order_multi", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC NULLS FIRST, o_totalprice, o_orderkey")
 text("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20")
 text("topk_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
 text("fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_orderkey FETCH FIRST 7 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7")
-text("order_hidden_key", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15")
-text("order_expression", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal), c_custkey LIMIT 15")
-text("sort_over_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+text("order_hidden_key", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
+text("order_expression", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal), c_custkey")
+text("sort_over_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey")
 text("with_ties_sql", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity DESC FETCH FIRST 5 ROWS WITH TIES", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY rank() OVER (ORDER BY l_quantity DESC) <= 5")
 text("distinct_on_sql", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 

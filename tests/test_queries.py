@@ -36,3 +36,11 @@ WHOLE = {
 ])
 def test_query_gives_the_whole_table(spark, con, name, rows):
     assert QUERIES[name](spark, SF).count() == con.sql(rows).fetchall()[0][0]
+
+
+@pytest.mark.parametrize("name, of", [("order_multi", "orders"), ("order_expression", "customer"), ("order_hidden_key", "customer"), ("sort_over_join", "orders")])
+def test_whole_tables_come_in_order(spark, con, name, of):
+    df, want = QUERIES[name](spark, SF), con.sql(ORACLE[name])
+    got = [tuple(r[c] for c in want.columns) for r in df.collect()]
+    assert got == [tuple(r) for r in want.fetchall()]
+    assert len(got) == con.sql(f"SELECT count(*) FROM {of}").fetchall()[0][0]
