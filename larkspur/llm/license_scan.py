@@ -27,8 +27,9 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Short notices to be found with errors, and their labels.
+#: Short notices to be found with errors, and their labels; the phrases long enough for an edit are among them.
 NOTICES = {
+    **{phrase: label for phrase, label in PHRASES.items() if len(phrase) >= ERROR_EVERY},
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license version 2": "apache-2",

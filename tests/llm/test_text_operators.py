@@ -289,6 +289,13 @@ def test_license_fuzzy_against_a_full_scan():
     assert hits > 200
 
 
+def test_misspelt_short_forms_have_labels():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.ERROR_EVERY)
+    for text, label in (("distributed under the MIT licence", "mit"), ("provided under the Apche License Version 2", "apache-2"), ("all under one roof", "")):
+        got = scanner.scan(text.encode())
+        assert (got["labels"], got["base_labels"], got["n_base"]) == (label, "", 0)
+
+
 def test_license_odd_rows(spark):
     got = {r.doc_id: r for r in license_scan.scan_licenses(odd(spark, labels="z"), keep=("doc_id", "labels")).collect()}
     assert got[1].n_words == 0 and got[1].labels == "" and got[1].spans == []
