@@ -72,6 +72,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+#: Broadcasts hold at most so many bytes as text.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where its rows, counted and measured, take at most BROADCAST_BYTES; else as it is, to be joined by shuffling."""
+    length = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
+    taken = df.agg(F.sum(length.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= BROADCAST_BYTES else df
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

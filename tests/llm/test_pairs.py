@@ -5,9 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, near_join, shingles
+from larkspur.llm import line_dedup, near_join, shingles, simhash
 from larkspur.llm.components import components
 from larkspur.llm.exact_dedup import exact_dedup
 from tests.conftest import DATA
@@ -127,115 +126,163 @@ def plain_distance(a, b):
     return before[-1]
 
 
-def test_lines_on_documents(spark):
-    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
-    got = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
-    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
-    first, group, seen = {}, Union(), []
-    for i, text in rows:
-        assert got[i].n_lines == len(text.split("\n")) and got[i].n_dropped == len(got[i].dropped)
-        for at, line in enumerate(text.split("\n")):
-            words = tuple(line.lower().split())
-            if words:
-                seen.append((i, at, words))
-                first.setdefault(words, (i, at))
+def plain_lines(rows):
+    """The lines (id, place, words) of documents (id, text) with words, in order."""
+    return [(i, at, tuple(line.lower().split())) for i, text in sorted(rows) for at, line in enumerate((text or "").split("\n")) if line.split()]
+
+
+def similar_lines(lines):
+    """All pairs of different lines (tuples of words) of MIN_WORDS words or more at a word edit similarity of 0.8: what they share is a prefix of their rarest words."""
+    often = Counter(w for words in lines for w in set(words))
+    by, out = defaultdict(set), []
+    for n, words in sorted(enumerate(lines), key=lambda x: len(x[1])):
+        if len(words) < line_dedup.MIN_WORDS:
+            continue
+        most = int(0.2 * len(words) + 1e-9)
+        rare = set(sorted(words, key=lambda w: (often[w], w))[: most + 1])
+        for m in set().union(*(by[w] for w in rare)):
+            if len(words) - len(lines[m]) <= most and sum((Counter(words) & Counter(lines[m])).values()) >= len(words) - most and plain_distance(words, lines[m]) <= most:
+                out.append((m, n))
+        for w in rare:
+            by[w].add(n)
+    return out
+
+
+def expected_drops(rows):
+    """Places that go: of equal lines, and of all groups of similar lines; and those groups' pairs."""
+    seen = plain_lines(rows)
+    first = {}
+    for i, at, words in seen:
+        first.setdefault(words, (i, at))
     lines = list(first)
-    by = defaultdict(set)
-    for n, words in enumerate(lines):
-        for pair in zip(words, words[1:], strict=False):
-            by[pair].add(n)
-    for n, words in enumerate(lines):
-        if len(words) >= 5:
-            for m in {m for pair in zip(words, words[1:], strict=False) for m in by[pair] if m < n and len(lines[m]) >= 5}:
-                if plain_distance(words, lines[m]) <= 0.2 * max(len(words), len(lines[m])) + 1e-9:
-                    group.join(m, n)
-    number = {w: n for n, w in enumerate(lines)}
-    keep = {}
+    pairs, group = similar_lines(lines), Union()
+    for m, n in pairs:
+        group.join(m, n)
+    number, keep = {w: n for n, w in enumerate(lines)}, {}
     for i, at, words in seen:
         keep.setdefault(group.find(number[words]), (i, at))
     exact = {(i, at) for i, at, words in seen if first[words] != (i, at)}
     fuzzy = {(i, at) for i, at, words in seen if keep[group.find(number[words])] != (i, at)}
+    return exact, fuzzy
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_lines_on_documents(spark, sf):
+    """Against brute force, both ways: all equal lines go, no line goes that is not in a group with one that stays, and 0.9 of the fuzzy repeats go."""
+    docs = spark.read.parquet(f"{DATA}/{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
+    assert {i: r.n_lines for i, r in got.items()} == {i: len((text or "").split("\n")) for i, text in rows}
+    assert all(r.n_dropped == len(r.dropped) for r in got.values())
+    exact, fuzzy = expected_drops(rows)
     dropped = {(i, at) for i, r in got.items() for at in r.dropped}
-    assert exact <= dropped <= fuzzy  # no equal line is missed, and no line goes that is not like one that stays
-
-
-def test_lines_within_three_bits_meet(spark):
-    base = " ".join(f"longword{i}" for i in range(40))
-    rows = [(1, base + " tail"), (2, base + " taxi"), (3, base + " tub"), (4, "other thing\n" + base.replace("longword7 ", "longword8 "))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    named = line_dedup.named(line_dedup.lines_of(df, "text", "doc_id")).where("n > 30").collect()
-    gone = {r.doc_id: r.dropped for r in line_dedup.line_report(df).collect()}
-    for a in named:
-        for b in named:
-            if a["id"] < b["id"] and bin((a.s ^ b.s) & (2**64 - 1)).count("1") <= 3:
-                assert b["at"] in gone[b["id"]]
-    assert gone[2] == [0] and gone[1] == []
-
-
-def test_lines_that_can_be_found_are(spark):
-    """Recall against brute force: of the pairs of lines that differ in at most NEAR bits and are similar, so many share a key; all within five bits do."""
-    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
-    named = line_dedup.named(line_dedup.lines_of(docs, "text", "doc_id")).join(line_dedup.lines_of(docs, "text", "doc_id").select("row", "at", "norm"), ["row", "at"])
-    sims = {r.norm: (r.h, r.s) for r in named.where(f"n >= {line_dedup.MIN_WORDS}").select("norm", "h", "s").collect()}
-    lines = sorted((tuple(norm.split(" ")) for norm in sims), key=len)
-    often, by, near = Counter(p for words in lines for p in set(zip(words, words[1:], strict=False))), defaultdict(list), []
-    for n, words in enumerate(lines):  # an edit takes away two pairs of words at most, so similar lines share one of their rarest
-        pairs, most = sorted(set(zip(words, words[1:], strict=False)), key=lambda p: (often[p], p)), len(words) * 0.2 + 1e-9
-        for m in {m for p in pairs[: 2 * int(most) + 1] for m in by[p] if len(words) - len(lines[m]) <= most}:
-            (ha, sa), (hb, sb) = sims[" ".join(lines[m])], sims[" ".join(words)]
-            gap = ((sa ^ sb) & (2**64 - 1)).bit_count()
-            if gap <= line_dedup.NEAR and plain_distance(lines[m], words) <= most:
-                near.append((gap, frozenset((ha, hb))))
-        for p in pairs[: 2 * int(len(words) * 0.25 + 1e-9) + 1]:
-            by[p].append(n)
-    distinct = spark.createDataFrame([(h, s, 5) for h, s in sims.values()], "h long, s long, n int")
-    groups = defaultdict(set)
-    for r in line_dedup.meetings(distinct).collect():
-        groups[r.key].add(r.h)
-    met = {frozenset((a, b)) for g in groups.values() for a in g for b in g if a != b}
-    assert len(near) > 300 and all(pair in met for gap, pair in near if gap <= 5)
-    assert sum(pair in met for _, pair in near) >= 0.7 * len(near)
-
-
-def plain_sim(words):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    long = [w for w in words if len(w) > line_dedup.SHORT]
-    hashes = [r[0] & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in long], "w string").select(F.xxhash64("w")).collect()]
-    out = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
-    return out - (out >> 63 << 64)
-
-
-def test_sim_hash_is_the_majority(spark):
-    texts = ["alpha beta gamma delta epsilon", "the quick brown jumps over lazy dogs again dogs", "word " * 300 + "other words here"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r.s for r in line_dedup.named(line_dedup.lines_of(df, "text", "doc_id")).collect()}
-    assert got == {i: plain_sim(t.split()) for i, t in enumerate(texts)}
-
-
-def test_very_long_lines_are_signed_by_all_words(spark):
-    words = [f"word{i * i % 997}" for i in range(40_000)]
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, ["another", *words], words[:17_000], ["another", *words[:17_000]]))], "doc_id long, text string")
-    got = {r["id"]: r.s for r in line_dedup.named(line_dedup.lines_of(df, "text", "doc_id")).collect()}
-    assert got == {0: plain_sim(words), 1: plain_sim(["another", *words]), 2: plain_sim(words[:17_000]), 3: plain_sim(["another", *words[:17_000]])}
-
-
-def test_lines_of_short_words_only_are_compared(spark):
-    codes = [f"{i * 37 % 1000}" for i in range(200)]
-    rows = [(1, " ".join(codes)), (2, " ".join([*codes[:90], "x", *codes[91:]])), (3, " ".join(reversed(codes)))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.dropped for r in line_dedup.line_report(df).collect()} == {1: [], 2: [0], 3: []}
+    assert exact <= dropped <= fuzzy
+    assert len(dropped - exact) >= 0.9 * len(fuzzy - exact) > 5
+
+
+def changed_lines(n, words, changes, seed):
+    """n lines of some words of which changes are replaced, added or left out."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 3000, words)]
+    out = []
+    for _ in range(n):
+        line = list(base)
+        for _ in range(changes):
+            at, kind = rng.integers(0, len(line)), rng.integers(0, 3)
+            line[at : at + (kind != 1)] = [] if kind == 2 else [f"x{rng.integers(0, 10**6)}"]
+        out.append(" ".join(line))
+    return out
+
+
+@pytest.mark.parametrize("hot", [None, 40])
+def test_lines_of_a_large_group(spark, monkeypatch, hot):
+    """One group of a thousand near copies among other lines, also where its buckets are dealt out in blocks."""
+    if hot:
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+        monkeypatch.setattr(line_dedup, "BLOB", 16)
+    lines = changed_lines(1000, 60, 3, 1) + [x for seed in range(2, 40) for x in changed_lines(5, 25, 2, seed)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    stay = [r.doc_id for r in line_dedup.line_report(df).where("n_dropped = 0").collect()]
+    assert 0 in stay and len([i for i in stay if i < 1000]) <= 10 and 38 <= len(stay) <= 60
+
+
+def test_lines_of_a_template_are_not_joined(spark):
+    """Lines that share three quarters of their words meet and are refused, all of them."""
+    rng = np.random.default_rng(7)
+    lines = [" ".join([*(f"t{i}" for i in range(15)), *(f"y{x}" for x in rng.integers(0, 10**9, 5))]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.line_report(df).where("n_dropped > 0").count() == 0
+
+
+def majority(words):
+    """The SimHash over different words, bit by bit."""
+    hashes = {int(x) >> 24 for x in shingles.word_hashes(" ".join(words).encode())[0]}
+    halves, x = [], list(hashes)
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        x = [int(shingles.mixed(np.array([(h * salt + (salt >> 7)) % 2**64], np.uint64))[0]) for h in x]
+        halves.append(sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in x) > len(x)))
+    return halves
+
+
+def test_sim_hash_is_the_majority():
+    texts = ["alpha beta gamma delta epsilon", "the quick brown jumps over lazy dogs again dogs", "word " * 300 + "other words here at last", " ".join(f"w{i * i % 997}" for i in range(3000)), "under five"]
+    got = simhash.lines_of([t.encode() for t in texts])
+    assert got["n"].tolist() == [len(t.split()) for t in texts]
+    for i, t in enumerate(texts[:4]):
+        assert [int(got[c][i]) % 2**64 for c in ("a", "b")] == majority(t.split())
+    assert got["b"][4] == 0 and len(set(got["h"].tolist())) == 5
+
+
+def test_lines_are_signed_alike_wherever_they_stand(monkeypatch):
+    texts = [b"one two three four five six\n\n x  y\tz\r\n", b"", b"one two\nthree four five six seven eight", "é ü ß eins zwei drei".encode()]
+    one = [simhash.lines_of([t]) for t in texts]
+    every = simhash.lines_of(texts)
+    assert every["text"].tolist() == [0, 0, 0, 0, 1, 2, 2, 3] and every["at"].tolist() == [0, 1, 2, 3, 0, 0, 1, 0]
+    monkeypatch.setattr(simhash, "SLICE", 3)
+    small = simhash.lines_of(texts)
+    for c in ("n", "h", "a", "b"):
+        assert every[c].tolist() == small[c].tolist() == [int(x) for o in one for x in o[c]]
+
+
+def test_near_sim_hashes_share_a_block():
+    """All pairs with fewer differing bits than blocks meet; of those with RADIUS bits RECALL on each level do."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    a, b = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+    plan = simhash.Plan.of(2 * n)
+    for bits, least in ((plan.tables - 1, 1.0), (simhash.RADIUS, 0.95)):
+        c, d = a.copy(), b.copy()
+        for i in range(n):
+            for bit in rng.choice(128, bits, replace=False):
+                (c if bit < 64 else d)[i] ^= np.uint64(1) << np.uint64(bit % 64)
+        h = np.arange(2 * n)
+        e = np.concatenate(list(simhash.entries(h, np.concatenate([a, c]), np.concatenate([b, d]), plan)))
+        assert (simhash.unturned(e, plan).view(np.uint64) == np.tile(np.concatenate([a, c]), plan.tables)).all()
+        pairs = simhash.part_pairs(e, plan)
+        met = {frozenset((int(e["h"][i]), int(e["h"][j]))) for i, j, _ in pairs}
+        assert sum(frozenset((i, n + i)) in met for i in range(n)) >= least * n
+        assert len(met) <= 1.01 * n
+
+
+def test_edit_distance_of_long_lines():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        x, y = rng.integers(0, 4, rng.integers(0, 14)), rng.integers(0, 4, rng.integers(0, 14))
+        d = plain_distance(x.tolist(), y.tolist())
+        assert [simhash.within(x, y, k) for k in range(16)] == [k >= d for k in range(16)]
 
 
 def test_lines_odd_rows(spark):
-    rows = [(1, "Same  line\nb"), (2, "same\tLINE \n\n"), (3, None), (4, ""), (5, "w " * 40_000), (5, "w " * 40_000), (None, "b"), (6, "of it is an at\nof it is an as"), (7, "longest " * 40_000)]
-    df = spark.createDataFrame([(i, t, 1, "h") for i, t in rows], "doc_id long, text string, at int, h string")
+    long = " ".join(f"longest{i}" for i in range(200_000))
+    rows = [(1, "Same  line\nb"), (2, "same\tLINE \n\n"), (3, None), (4, ""), (5, "w " * 40_000), (5, "w " * 40_000), (None, "b"), (6, "of it is\nof it at"), (7, "longest " * 40_000), (8, long), (9, f"first {long}"), (10, "ÄÖ ü é è ñ"), (11, "äö Ü É È Ñ")]
+    df = spark.createDataFrame([(i, t, 1, "h", 7, 8) for i, t in rows], "doc_id long, text string, at int, h string, row int, __row int")
     got = sorted(((r.doc_id, r.n_lines, r.dropped) for r in line_dedup.line_report(df).collect()), key=str)
-    assert got == sorted([(None, 1, []), (1, 2, [1]), (2, 3, [0]), (3, 1, []), (4, 1, []), (5, 1, []), (5, 1, [0]), (6, 2, []), (7, 1, [])], key=str)
-    texts = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(df).where("doc_id < 5").collect()}
-    assert texts == {(1, "Same  line"), (2, "\n"), (3, None), (4, "")}
-    assert line_dedup.line_report(df.limit(0)).count() == 0
+    assert got == sorted([(None, 1, []), (1, 2, [1]), (2, 3, [0]), (3, 1, []), (4, 1, []), (5, 1, []), (5, 1, [0]), (6, 2, []), (7, 1, []), (8, 1, []), (9, 1, [0]), (10, 1, []), (11, 1, [0])], key=str)
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns
+    assert {(r.doc_id, r.text, r.at, r.h, r.row, r["__row"]) for r in out.where("doc_id < 5").collect()} == {(i, t, 1, "h", 7, 8) for i, t in ((1, "Same  line"), (2, "\n"), (3, None), (4, ""))}
+    assert line_dedup.line_report(df.limit(0)).count() == 0 and line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
 # pipeline
