@@ -96,10 +96,10 @@ ORACLE = {
         FROM q, c""",
     "op4_url_filter": r"""
         WITH u AS (
-            SELECT page_id, url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+            SELECT page_id, url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS after, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN after ELSE coalesce(url, '') END AS rest FROM pages),
         p AS (
-            SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+            SELECT *, translate(regexp_extract(after, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(after, length(regexp_extract(after, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
         r AS (
             SELECT p.*, (SELECT {'rule': h || p1, 'said': v} FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) x(v, h, p1)
                          WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, p1) ORDER BY length(h || p1) DESC LIMIT 1) AS best FROM p),
@@ -129,8 +129,8 @@ ORACLE = {
                                + (1 - coalesce(sum(n) FILTER (WHERE said = 'allow' AND b.step < e.step), 0)::DOUBLE / sum(n) FILTER (WHERE said = 'allow')), 12) AS share
             FROM edges e CROSS JOIN bins b GROUP BY e.step),
         least AS (SELECT coalesce((SELECT step FROM found WHERE share IS NOT NULL ORDER BY share DESC, step LIMIT 1), 0) AS step)
-        SELECT page_id, host, path, rule, CASE WHEN rest <> '' THEN ratio END AS ratio,
-               coalesce(said, CASE WHEN rest = '' OR scored.step >= least.step THEN 'allow' ELSE 'block' END) AS verdict
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN rest = '' OR scored.step >= least.step THEN 'allow' ELSE 'block' END) AS verdict,
+               CASE WHEN rest <> '' THEN ratio END AS ratio
         FROM scored, least""",
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)

@@ -37,25 +37,22 @@ CALIBRATE = ("0", "1", "2")
 OUT = ("host", "path", "rule", "verdict", "ratio")
 
 
-def after_scheme(url: Column) -> Column:
-    return F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise(F.lit(""))
-
-
 def parsed(df: DataFrame, url_col: str) -> DataFrame:
-    """df with __rest (what follows ://), host and path."""
-    rows = df.withColumn("__url", F.coalesce(F.col(url_col), F.lit("")))
-    rows = rows.withColumn("__rest", after_scheme(F.col("__url"))).withColumn("__host", F.regexp_extract("__rest", "^[^/?#]*", 0))
-    path = F.regexp_extract(F.expr("substring(__rest, char_length(__host) + 1)"), "^[^?#]*", 0)
-    return rows.withColumn("host", F.translate("__host", UPPER, LOWER)).withColumn("path", path).drop("__host")
+    """row (a struct of the columns of df), url (null is empty), judged (what follows ://, or the whole url without it), host and path."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"))
+    rows = rows.withColumn("rest", F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit("")))
+    rows = rows.withColumn("host", F.regexp_extract("rest", "^[^/?#]*", 0)).withColumn("judged", F.when(F.instr("url", "://") > 0, F.col("rest")).otherwise(F.col("url")))
+    path = F.regexp_extract(F.expr("substring(rest, char_length(host) + 1)"), "^[^?#]*", 0)
+    return rows.withColumn("path", path).withColumn("host", F.translate("host", UPPER, LOWER)).drop("rest")
 
 
 def ruled(rows: DataFrame, rules: tuple) -> DataFrame:
-    """rows with rule, the longest that fits (or null), and __said, its verdict."""
+    """rows with rule, the longest that fits (or null), and said, its verdict."""
     name, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):  # the longest is asked last and so wins
         fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
         name, said = F.when(fits, F.lit(host + path)).otherwise(name), F.when(fits, F.lit(verdict)).otherwise(said)
-    return rows.withColumn("rule", name).withColumn("__said", said)
+    return rows.withColumn("rule", name).withColumn("said", said)
 
 
 def symbols(text: Column) -> Column:
@@ -92,7 +89,7 @@ def ratios(counted: pd.DataFrame) -> np.ndarray:
     """log2 of accepted over rejected probability of each gram, in units."""
     tables = []
     for verdict in ("allow", "block"):
-        part = counted[counted["__said"] == verdict]
+        part = counted[counted["said"] == verdict]
         flat = np.zeros(SYMBOLS**3)
         flat[part.gram] = part.n
         tables.append(smoothed(flat.reshape(SYMBOLS, SYMBOLS, SYMBOLS)))
@@ -101,7 +98,7 @@ def ratios(counted: pd.DataFrame) -> np.ndarray:
 
 def threshold(bins: pd.DataFrame) -> int:
     """The step from which on to allow: right for the largest sum of shares of both verdicts, the least such step. Without one of the verdicts, 0."""
-    both = bins.pivot_table(index="step", columns="__said", values="n", aggfunc="sum", fill_value=0).sort_index()
+    both = bins.pivot_table(index="step", columns="said", values="n", aggfunc="sum", fill_value=0).sort_index()
     if not {"allow", "block"} <= set(both.columns):
         return 0
     blocked_below = np.concatenate([[0], np.cumsum(both["block"])]) / both["block"].sum()
@@ -113,19 +110,22 @@ def threshold(bins: pd.DataFrame) -> int:
 def filter_urls(df: DataFrame, url_col: str = "url", rules: tuple = RULES) -> DataFrame:
     """df with host, path, rule, verdict (allow or block) and ratio (mean log-likelihood ratio in bits; null for an empty url).
 
-    A null url, or one without ://, has an empty host and path and is allowed, as there is nothing against it; so are all urls
-    without a rule where the rules allow or block none at all. Columns of df that have the names of results are replaced.
+    A null url, or one without ://, has an empty host and path. Without :// the models judge the whole url; an empty one, or nothing after ://, is
+    allowed, as there is nothing against it. So are all urls without a rule where the rules allow or block none at all. Without decided urls of
+    both verdicts among those held back, the threshold is 0: no likelier rejected than accepted. Repeated rows get the same result each;
+    urls of any length are read whole. Columns of df that have the names of results are replaced, others kept whatever their names; an empty df gives an empty result.
     """
-    rows = ruled(parsed(df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in OUT]), url_col), rules)
-    decided = rows.where("__said IS NOT NULL").select("__said", F.col("__rest"), F.substring(F.md5("__url"), 1, 1).isin(*CALIBRATE).alias("__held"))
-    counted = decided.where("NOT __held").select("__said", F.explode(grams(symbols(F.col("__rest")))).alias("gram")).groupBy("__said", "gram").agg(F.count("*").alias("n")).toPandas()  # 2 * SYMBOLS^3 rows at most
-    teaches = {"allow", "block"} <= set(counted["__said"])
+    rows = ruled(parsed(df, url_col), rules)
+    decided = rows.where("said IS NOT NULL").select("said", "judged", F.substring(F.md5("url"), 1, 1).isin(*CALIBRATE).alias("held"))
+    counted = decided.where("NOT held").select("said", F.explode(grams(symbols(F.col("judged")))).alias("gram")).groupBy("said", "gram").agg(F.count("*").alias("n")).toPandas()  # 2 * SYMBOLS^3 rows at most
+    teaches = {"allow", "block"} <= set(counted["said"])
     table = ratios(counted) if teaches else np.zeros(SYMBOLS**3, np.int64)
     known = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one constant
-    total = F.aggregate(grams(symbols(F.col("__rest"))), F.lit(0).cast("long"), lambda s, g: s + F.get(known, g))
-    step = F.floor(total / F.char_length("__rest") / STEP).cast("long")
-    bins = decided.where("__held AND __rest <> ''").select("__said", step.alias("step")).groupBy("__said", "step").agg(F.count("*").alias("n")).toPandas()  # the scores' range in steps
+    total = F.aggregate(grams(symbols(F.col("judged"))), F.lit(0).cast("long"), lambda s, g: s + F.get(known, g))
+    step = F.floor(total / F.char_length("judged") / STEP).cast("long")
+    bins = decided.where("held AND judged <> ''").select("said", step.alias("step")).groupBy("said", "step").agg(F.count("*").alias("n")).toPandas()  # the scores' range in steps
     least = threshold(bins) if len(bins) else 0
-    scored = rows.withColumn("ratio", F.when(F.col("__rest") != "", total / F.char_length("__rest") / UNIT))
+    scored = rows.withColumn("ratio", F.when(F.col("judged") != "", total / F.char_length("judged") / UNIT))
     by_model = F.when(F.floor(F.col("ratio") * (UNIT / STEP)) >= least, "allow").when(F.col("ratio").isNull(), "allow").otherwise("block")
-    return scored.withColumn("verdict", F.coalesce("__said", by_model)).drop("__url", "__rest", "__said")
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in OUT]
+    return scored.select(*kept, "host", "path", "rule", F.coalesce("said", by_model).alias("verdict"), "ratio")
