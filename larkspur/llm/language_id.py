@@ -25,8 +25,9 @@ from larkspur.llm.common import carried, crc_mod, modest, shipped
 ORDER = 3
 PAD = b"\n" * ORDER
 UNIT = 1 << 16
-#: At most so many documents of a language are learned from, those with the smallest hashes of their ids (and ties).
+#: At most so many documents of a language are learned from: of each of SHARES parts of its ids the same number, those with the smallest hashes (and ties).
 SAMPLE_PER_LANGUAGE = 2000
+SHARES = 4
 WINDOW = 1 << 19
 
 
@@ -123,15 +124,20 @@ class Model:
 
 
 def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """A model from at most per_language documents of each language among those for which learn holds; None without any text."""
-    place = F.xxhash64(F.col(id_col), F.lit(11))
-    labelled = df.where(learn & F.col(lang_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    limits = labelled.select(F.col(lang_col).alias("lang"), place.alias("place")).withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("place").alias("place"))
-    upto = {r["lang"]: r["place"] for r in limits.collect()}  # one row per language
+    """A model from at most per_language documents of each language among those for which learn holds; None without any text.
+
+    Rows with a null id or language teach nothing; of repeated rows each counts. The ranks that choose the documents are cut to per_language / SHARES
+    before they shuffle, by a group limit in the plan, so that a language of any size sends a bounded number of rows from each task.
+    """
+    place, share = F.xxhash64(F.col(id_col), F.lit(11)), F.pmod(F.xxhash64(F.col(id_col), F.lit(12)), F.lit(SHARES)).cast("int")
+    labelled = df.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    rank = F.row_number().over(Window.partitionBy("lang", "share").orderBy("place"))
+    ranked = labelled.select(F.col(lang_col).alias("lang"), share.alias("share"), place.alias("place")).withColumn("rank", rank).where(F.col("rank") <= -(-per_language // SHARES))
+    upto = {(r["lang"], r["share"]): r["place"] for r in ranked.groupBy("lang", "share").agg(F.max("place").alias("place")).collect()}  # SHARES rows per language
     if not upto:
         return None
-    sample = labelled.where(place <= F.element_at(F.create_map(*[F.lit(x) for pair in upto.items() for x in pair]), F.col(lang_col)))
+    bounds = F.create_map(*[F.lit(x) for (lang, k), bound in upto.items() for x in (f"{k} {lang}", bound)])
+    sample = labelled.where(place <= F.element_at(bounds, F.concat(share.cast("string"), F.lit(" "), F.col(lang_col))))
     modest(df.sparkSession)
     counted = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, n int, gram long, seen long")
     pdf = counted.groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen")).toPandas()  # of the bounded sample
@@ -152,7 +158,8 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", keep: t
     """The columns keep of df (but for those named like results), lang_pred, score (0 to 1) and bits_per_byte of the shortest code.
 
     A text that is null or without a letter gets `und`, score 0 and no bits_per_byte; so does every text where nothing could be learned.
-    Of languages with equal code lengths the first by code points is taken.
+    Of languages with equal code lengths the first by code points is taken. Texts of any length are coded whole, in windows; repeated rows get the same
+    result each; columns of df that are not in keep are not read. An empty df gives an empty result.
     """
     modest(df.sparkSession)
     rows = df.select(*carried(keep, "lang_pred", "score", "bits_per_byte"), F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
@@ -180,4 +187,4 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", keep: t
 
 
 def learnable(id_col: str = "doc_id") -> Column:
-    return F.coalesce(crc_mod(id_col, 3) != 1, F.lit(True))
+    return F.coalesce(crc_mod(id_col, 3) != 1, F.lit(False))
