@@ -160,7 +160,8 @@ def score_quality(df: DataFrame, labels: DataFrame, learn: Column, text_col: str
 
     Learns from the labels (doc_id, quality) of rows for which learn, a condition on the id column, holds; rows with a null id or label
     teach nothing, and of several labels of an id the largest counts. Null and empty texts are scored like any other, by their statistics. Without
-    labels every score is 0.5.
+    labels every score is 0.5. Of repeated rows each is scored, and each teaches; texts of any length are measured whole. Other columns of df, whatever
+    their names, are not read. An empty df gives an empty result.
     """
     stats = cut(measured(df, text_col, (id_col,)), "quality-stats")
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("quality"))

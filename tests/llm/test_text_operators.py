@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,35 +28,39 @@ def odd(spark, **more):
 # language ID
 
 
-def plain_ppm(train, langs, text, order=3):
-    """PPM C without exclusion, context by context."""
-    out = []
-    for lang in langs:
-        seen = Counter()
-        for t in train[lang]:
-            padded = b"\n" * order + t
-            for i in range(order, len(padded)):
-                for n in range(order + 1):
-                    seen[padded[i - n : i], padded[i]] += 1
-        of = {}
-        for (context, b), c in seen.items():
-            of.setdefault(context, {})[b] = c
-        padded, bits = b"\n" * order + text, 0.0
+def ppm_counts(texts, order=3):
+    """The counts of each byte after each context."""
+    of = {}
+    for t in texts:
+        padded = b"\n" * order + t
         for i in range(order, len(padded)):
-            for n in range(order, -2, -1):
-                if n < 0:
-                    bits += 8
-                    break
-                known = of.get(padded[i - n : i])
-                if not known:
-                    continue
-                total, kinds = sum(known.values()), len(known)
-                if padded[i] in known:
-                    bits += -math.log2(known[padded[i]] / (total + kinds))
-                    break
-                bits += -math.log2(kinds / (total + kinds))
-        out.append(bits)
-    return out
+            for n in range(order + 1):
+                own = of.setdefault(padded[i - n : i], {})
+                own[padded[i]] = own.get(padded[i], 0) + 1
+    return of
+
+
+def ppm_bits(of, text, order=3):
+    """PPM C without exclusion, context by context."""
+    padded, bits = b"\n" * order + text, 0.0
+    for i in range(order, len(padded)):
+        for n in range(order, -2, -1):
+            if n < 0:
+                bits += 8
+                break
+            known = of.get(padded[i - n : i])
+            if not known:
+                continue
+            total, kinds = sum(known.values()), len(known)
+            if padded[i] in known:
+                bits += -math.log2(known[padded[i]] / (total + kinds))
+                break
+            bits += -math.log2(kinds / (total + kinds))
+    return bits
+
+
+def plain_ppm(train, langs, text):
+    return [ppm_bits(ppm_counts(train[lang]), text) for lang in langs]
 
 
 def test_code_lengths_are_exact(spark, monkeypatch):
@@ -76,6 +82,37 @@ def test_language_id_held_out(spark):
     assert 250 < len(held) < 400 and (held.lang == held.lang_pred).mean() > 0.98
 
 
+def test_language_id_against_a_plain_version(spark):
+    """The query's predictions for all short documents are those of plain PPM, trained on the same documents."""
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    rows = docs.withColumn("learns", language_id.learnable()).collect()
+    langs = sorted({r.lang for r in rows if r.learns and r.lang})
+    train = {lang: [(r.text or "").encode() for r in rows if r.learns and r.lang == lang] for lang in langs}
+    seen = {lang: ppm_counts(train[lang]) for lang in langs}
+    got = {r.doc_id: r for r in QUERIES["op1_language_id"](spark, f"{DATA}/sf0.001").collect()}
+    compared = 0
+    for r in rows:
+        text = (r.text or "").encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+        elif len(text) < 1500:
+            bits = [ppm_bits(seen[lang], text) for lang in langs]
+            best = sorted(bits)
+            if best[1] - best[0] > 0.5:
+                compared += 1
+                assert got[r.doc_id].lang_pred == langs[bits.index(best[0])]
+                assert got[r.doc_id].score == pytest.approx(1 / sum(2 ** max(best[0] - b, -1000) for b in bits), abs=1e-3)
+    assert compared > 60
+
+
+def test_ranks_are_cut_before_they_shuffle(spark, capsys):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    assert language_id.SAMPLE_PER_LANGUAGE // language_id.SHARES <= int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    few = language_id.train(docs, language_id.learnable(), per_language=8)
+    assert few.langs == ["de", "en", "es", "fr"]
+    assert language_id.train(docs.withColumn("doc_id", F.lit(None).cast("long")), language_id.learnable()) is None
+
+
 def test_language_id_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(100)
     model = language_id.train(docs, language_id.learnable())
@@ -160,7 +197,7 @@ def test_url_rules(spark):
     urls = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     urls += [None, "", "no scheme", "http://", "HTTP://A.EXAMPLE.COM/en/77?x", "http://net/de/", "http://example.net/de/81", "http://xcom/en/", "http://a.com/en", "http://a.com?/en/", "ftp://É.org/es/é#x", "http://a.org/es/" + "y" * 5000, urls[0]]
     got = url_filter.filter_urls(spark.createDataFrame([(i, u, "r", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, __said2 int")).collect()
-    assert len(got) == len(urls)
+    assert len(got) == len(urls) and {r["__said2"] for r in got} == {1}
     for r in got:
         host, path, rule, verdict = plain_rule(r.url)
         assert (r.host, r.path, r.rule) == (host, path, rule)
@@ -202,6 +239,20 @@ def test_url_models_against_a_plain_version(spark):
     assert all(r.ratio < least for r in undecided if r.verdict == "block")
 
 
+def test_urls_keep_columns_and_judge_those_without_a_scheme(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
+    plain = [(r.page_id + 10_000, r.url.split("://", 1)[1]) for r in pages if "://" in r.url]
+    rows = spark.createDataFrame([(r.page_id, r.url, 1, 2, 3, 4) for r in pages] + [(i, u, 1, 2, 3, 4) for i, u in plain], "page_id long, url string, __url int, __rest int, __said int, judged int")
+    out = url_filter.filter_urls(rows)
+    assert out.columns == ["page_id", "url", "__url", "__rest", "__said", "judged", "host", "path", "rule", "verdict", "ratio"]
+    got = {r.page_id: r for r in out.collect()}
+    for i, _ in plain:
+        r, with_scheme = got[i], got[i - 10_000]
+        assert (r.host, r.path, r.rule, r["__said"], r.ratio) == ("", "", None, 3, with_scheme.ratio)
+        assert with_scheme.rule or r.verdict == with_scheme.verdict
+    assert QUERIES["op4_url_filter"](spark, f"{DATA}/sf0.001").columns == ["page_id", "host", "path", "rule", "verdict", "ratio"]
+
+
 def test_urls_without_rules(spark):
     rows = spark.createDataFrame([(1, "http://a/b"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.filter_urls(rows, rules=()).collect()} == {"allow"}
@@ -219,6 +270,63 @@ def test_quality_held_out(spark):
     assert (good.to_numpy()[:, None] > bad.to_numpy()).mean() > 0.98
 
 
+def plain_statistics(text):
+    kinds = Counter()
+    for c in text:
+        b = c.encode()[0]
+        kinds["control" if b < 32 and c not in "\t\r\n" or b == 127 else "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "blank" if c in "\t " else "end" if c in "\r\n" else "loud" if c in "!?" else "point" if c in ".,;:'\"-()" else "sign" if b < 128 else "beyond"] += 1
+    words, lines = text.encode().split(), text.split("\n")
+    chars, n = max(1, len(text)), max(1, len(words))
+    rich = len(set(words)) / n if words else 1.0
+    return [
+        *(math.sqrt(kinds[k] / chars) for k in ("control", "lower", "upper", "digit", "blank", "loud", "point", "sign", "beyond")),
+        math.log1p(chars), math.log1p(len(words)), math.log1p(len(lines)), rich, len(set(lines)) / len(lines),
+        math.log1p(sum(map(len, words)) / n), math.log1p(sum(map(len, set(words))) / max(1, len(set(words)))), rich * math.sqrt(n) / (1 + math.sqrt(n)),
+    ]
+
+
+def isotonic(y, weight):
+    """The increasing sequence nearest to y: each value is the largest over starts of the least mean over ends."""
+    n, sums, total = len(y), np.concatenate([[0], np.cumsum(y * weight)]), np.concatenate([[0], np.cumsum(weight)])
+    mean = lambda i, j: (sums[j + 1] - sums[i]) / (total[j + 1] - total[i])
+    return np.array([max(min(mean(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)])
+
+
+def test_quality_against_a_plain_version(spark):
+    """Statistics, kernel, ridge and calibration written plainly, in floating point, for all documents of sf0.001."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/sf0.001/labels.parquet").collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op5_quality"](spark, f"{DATA}/sf0.001").collect()}
+    crc = lambda i: zlib.crc32(str(i).encode())
+    x = {i: np.array(plain_statistics(t)) for i, t in docs}
+    known = [i for i, _ in docs if labels.get(i) is not None and crc(i) % 5]
+    mean, spread = np.mean([x[i] for i in known], 0), np.maximum(np.var([x[i] for i in known], 0), 1e-6) ** 0.5
+    rng = np.random.default_rng(quality.SEED)
+    turn, phase = rng.standard_normal((len(mean), quality.FEATURES)) / quality.BANDWIDTH, rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    feature = lambda i: np.append(np.cos(np.clip((x[i] - mean) / spread, -6, 6) @ turn + phase), 1)
+    fit = [i for i in known if crc(i) % 7 != quality.CALIBRATE]
+    z, y = np.stack([feature(i) for i in fit]), np.array([labels[i] for i in fit], float)
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(fit) * np.eye(z.shape[1]), z.T @ y)
+    raw = {i: feature(i) @ weights for i, _ in docs}
+    bins = {}
+    for i in known:
+        if crc(i) % 7 == quality.CALIBRATE:
+            bins.setdefault(min(quality.BINS - 1, max(0, math.floor((raw[i] + 0.5) / 2 * quality.BINS))), []).append(labels[i])
+    at = sorted(bins)
+    value = isotonic(np.array([np.mean(bins[b]) for b in at]), np.array([len(bins[b]) for b in at], float))
+    centre = (np.array(at) + 0.5) / quality.BINS * 2 - 0.5
+    blocks = [np.flatnonzero(np.isclose(value, v)) for v in sorted(set(np.round(value, 9)))]
+    knots = [np.average(centre[b], weights=[len(bins[at[k]]) for k in b]) for b in blocks]
+    want = {i: float(np.interp(raw[i], knots, [value[b[0]] for b in blocks])) for i, _ in docs}
+    assert np.mean([abs(got[i] - want[i]) < 0.01 for i in got]) > 0.97  # a score on the edge of a bin may calibrate elsewhere
+
+    a, b = np.stack([x[i] for i in known[:20]]), (np.stack([x[i] for i in known[:20]]) - mean) / spread
+    model = quality.Classifier(mean, spread, features=200_000)
+    near = model.features(a)[:, :-1] / 2.0**quality.GRAIN
+    gauss = np.exp(-((np.clip(b, -6, 6)[:, None] - np.clip(b, -6, 6)[None]) ** 2).sum(2) / 2 / quality.BANDWIDTH**2)
+    assert np.abs(2 * near @ near.T / 200_000 - gauss).max() < 0.02
+
+
 def test_quality_reruns_agree(spark):
     docs, labels = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DATA}/sf0.001/labels.parquet")
     a, b = (sorted(map(tuple, quality.score_quality(d, labels, F.lit(True)).collect())) for d in (docs, docs.repartition(5)))
@@ -227,8 +335,9 @@ def test_quality_reruns_agree(spark):
 
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(0, 1), (4, 0), (None, 1), (5, None), (0, 0)], "doc_id long, quality int")
-    got = quality.score_quality(odd(spark, stats="q", quality="r"), labels, F.lit(True)).collect()
-    assert len(got) == len(TEXTS) and all(0 <= r.score <= 1 for r in got)
+    twice = odd(spark, stats="q", quality="r").unionByName(odd(spark, stats="q", quality="r"))
+    got = quality.score_quality(twice, labels, F.lit(True)).collect()
+    assert len(got) == 2 * len(TEXTS) and len(set(got)) == len(TEXTS) and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in quality.score_quality(odd(spark), labels.limit(0), F.lit(True)).collect()} == {0.5}
     assert quality.score_quality(odd(spark).limit(0), labels, F.lit(True)).count() == 0
 
@@ -269,7 +378,7 @@ def test_license_fuzzy_against_a_full_scan():
     rng = np.random.default_rng(3)
     scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.ERROR_EVERY)
     hits = 0
-    for notice, label in license_scan.NOTICES.items():
+    for notice, (label, keys, _) in license_scan.NOTICES.items():
         k = len(notice) // license_scan.ERROR_EVERY
         pattern = regex.compile(f"(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}")
         for _ in range(30):
@@ -281,12 +390,13 @@ def test_license_fuzzy_against_a_full_scan():
             got = scanner.scan(line.encode())
             found = {s["label"] for s in got["spans"]}
             canonical = " " + " ".join(WORD.findall(line)) + " "
-            if pattern.search(canonical):
+            words = canonical.split()
+            if pattern.search(canonical) and all(any(words[i : i + len(key.split())] == key.split() for i in range(len(words))) for key in keys):
                 hits += 1
                 assert label in found, (notice, line)
             for s in got["spans"]:
                 assert s["first_word"] <= s["last_word"] < got["n_words"]
-    assert hits > 200
+    assert hits > 150
 
 
 def test_misspelt_short_forms_have_labels():
@@ -296,6 +406,29 @@ def test_misspelt_short_forms_have_labels():
         assert (got["labels"], got["base_labels"], got["n_base"]) == (label, "", 0)
 
 
+def test_other_licenses_get_no_false_label():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.ERROR_EVERY)
+    for text, label in (
+        ("licensed under cc by nd", ""), ("licensed under the apache license version 1", ""), ("released under the mpl license", ""), ("licensed under the isc license", ""), ("licensed under the bsl license", ""),
+        ("released under the kit license", ""), ("licensed under a creative commons attribution sharealike license", ""), ("licensed under the apache license version 3", ""),
+        ("released under the mti license", "mit"), ("licensd under the bsd licence", "bsd"), ("licensed under the apahce license version 2", "apache-2"), ("licensed under the apach license version 2", "apache-2"),
+        ("licensed under a creative comons attribution", "cc-by"), ("licensed under a creative commons attribution noncomercial", "cc-by-nc"), ("licensed under the gnu lesser general public licence", "lgpl"),
+    ):
+        assert scanner.scan(text.encode())["labels"] == label, text
+
+
+def test_license_scan_is_linear():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES, license_scan.ERROR_EVERY)
+    one = b"licensed under the apache license version 2. Released under the MIT licence, cc by nc, "
+    took = []
+    for n in (400, 3_200):
+        began = time.process_time()
+        got = scanner.scan(one * n)
+        took.append(time.process_time() - began)
+        assert got["n_base"] == 2 * n and got["labels"] == "apache-2,cc-by-nc,mit" and got["last_word"] == got["n_words"] - 3
+    assert took[1] < 20 * took[0]
+
+
 def test_license_odd_rows(spark):
     got = {r.doc_id: r for r in license_scan.scan_licenses(odd(spark, labels="z"), keep=("doc_id", "labels")).collect()}
     assert got[1].n_words == 0 and got[1].labels == "" and got[1].spans == []
