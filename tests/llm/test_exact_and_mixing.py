@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.exact_dedup import exact_dedup
 from larkspur.llm.mixing import mix, mixed_documents
 from larkspur.llm.queries import ORACLE, QUERIES
+from larkspur.llm import topk
 from larkspur.llm.topk import exact_topk
 from tests.conftest import DATA
 from tests.helpers import connect, same
@@ -128,7 +129,46 @@ def test_topk_odd_rows(spark):
     rows += [(i, [0.5] * 6) for i in range(600, 640)]  # ties
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {tuple(r) for r in exact_topk(df).collect()} == plain_topk(rows)
-    assert {tuple(r) for r in exact_topk(df, block=2).collect()} == plain_topk(rows)
+    assert {tuple(r) for r in exact_topk(df, query_bytes=100).collect()} == plain_topk(rows)
     assert exact_topk(df.limit(0)).count() == 0
     twice = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (100, [1.0, 1.0])]
     assert [tuple(r) for r in exact_topk(spark.createDataFrame(twice, "vec_id long, embedding array<float>")).orderBy("rank").collect()] == [(100, 1, 1, 1048576), (100, 2, 1, 1048576)]
+
+
+def test_topk_ids_shared_by_several_rows(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    df = spark.createDataFrame([(*r, 5, 6) for r in rows], "vec_id long, embedding array<float>, query int, block int")
+    got = sorted(tuple(r) for r in exact_topk(df).collect())
+    unit = 1 << 20
+    assert got == sorted([(100, 1, 1, 2 * unit), (100, 2, 2, unit), (100, 1, 2, 3 * unit), (100, 2, 1, unit)])
+
+
+def test_topk_of_huge_components(spark):
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    big = float(1 << 20)  # products need more than 53 bits, and more than 62 before they cancel out
+    rows = [(100, [big + 1, 1.0, 0.0]), (1, [big, 3.0, 0.0]), (2, [big, 2.0, 0.0]), (3, [-big, -3.0, 0.0])]
+    assert {tuple(r) for r in exact_topk(make(rows)).collect()} == {(100, 1, 1, 1024**2 * ((1 << 40) + (1 << 20) + 3)), (100, 2, 2, 1024**2 * ((1 << 40) + (1 << 20) + 2)), (100, 3, 3, -(1024**2) * ((1 << 40) + (1 << 20) + 3))}
+    huge = float(1 << 24)
+    assert {tuple(r) for r in exact_topk(make([(100, [huge, huge]), (1, [huge, -huge + 1])])).collect()} == {(100, 1, 1, 1024**2 * (1 << 24))}
+    for rows in ([(100, [1e12, 1e12]), (1, [1e12, 1e12])], [(100, [1e30]), (1, [1.0])]):
+        with pytest.raises(Exception, match="64 bits"):
+            exact_topk(make(rows)).collect()
+
+
+def test_topk_leaves_candidates_out(spark):
+    """On vectors about a hundred centres fewer than one in ten candidates is evaluated, and the ranking is exact."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(100, 64))
+    v = np.floor(1024 * (centres[rng.integers(0, 100, 5000)] + 0.1 * rng.normal(size=(5000, 64)))).astype(np.int64)
+    ids = np.arange(5000)
+    basis = topk.pick_pivots(v[:2000], topk.PIVOTS)
+    assert np.allclose(basis.T @ basis, np.eye(topk.PIVOTS))
+    search = topk.Search(ids[:50], v[:50], basis, 10)
+    for low in range(0, 5000, 1000):
+        search.add(ids[low : low + 1000], v[low : low + 1000], *topk.placed(v[low : low + 1000], basis))
+    scores = v[:50] @ v.T
+    for i in range(50):
+        scores[i, i] = -(1 << 60)
+        order = np.lexsort((ids, -scores[i]))[:10]
+        assert search.found[i].tolist() == order.tolist() and search.scores[i].tolist() == scores[i][order].tolist()
+    assert search.evaluated < 0.1 * search.compared
