@@ -59,7 +59,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm.exact_dedup import exact_dedup
-from larkspur.llm.mixing import mix, mixed_documents
+from larkspur.llm.exact_dedup import cells_for, exact_dedup
+from larkspur.llm.mixing import bucket_digits, mix, mixed_documents
 from larkspur.llm.queries import ORACLE, QUERIES
 from larkspur.llm import topk
 from larkspur.llm.topk import exact_topk
@@ -51,6 +51,18 @@ def test_exact_dedup(spark, cells):
         assert len(kept) == 1 and kept[0].doc_id == max((x for x in group if x is not None), default=None)
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a", 5, 6, 7, 8, 9), (2, "a", 5, 6, 7, 8, 9)], "doc_id long, text string, __row int, row int, sha int, h int, kept int")
+    got = exact_dedup(rows)
+    assert got.columns == ["doc_id", "text", "__row", "row", "sha", "h", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted((r.doc_id, r["__row"], r.row, r.sha, r.h, r.keep_id, r.kept) for r in got.collect()) == [(1, 5, 6, 7, 8, 2, False), (2, 5, 6, 7, 8, 2, True)]
+    assert exact_dedup(rows, keep=("doc_id",)).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+
+
+def test_cells_grow_with_rows():
+    assert [cells_for(n) for n in (0, 1, 1 << 16, (1 << 16) + 1, 1 << 22, 1 << 40)] == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 26, 1 << 28]
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -106,6 +118,25 @@ def test_mixing_odd_rows(spark):
     assert mix(docs.limit(0)).count() == 0 and mixed_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ident", [None, 5])
+def test_mixing_of_rows_with_one_id(spark, ident):
+    """Rows of one id stand at few places and are taken one by one, by both functions alike."""
+    rows = [(ident, " ".join(["w"] * n) + f" {i}", source, i, i) for i, (n, source) in enumerate([(2, "a"), (2, "a"), (2, "a"), (4, "a"), (4, "a"), (6, "b"), (6, "b"), (6, "b"), (6, "b"), (6, "c")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, copy int")
+    got, copies = mix(docs).collect(), mixed_documents(docs)
+    assert len(got) == len(rows) and copies.columns == docs.columns
+    assert sum(r.taken for r in got) == sum(len(r.text.split()) for r in copies.collect())
+    assert 0 <= sum(r["size"] for r in got) - sum(r.taken for r in got) <= 7
+    by_size = lambda pairs: {k: sum(n for x, n in pairs if x == k) for k, _ in pairs}
+    assert by_size([(r["size"], r.taken) for r in got]) == by_size([(len(r.text.split()), len(r.text.split())) for r in copies.collect()])
+    assert {r["__size"] for r in copies.collect()} <= set(range(len(rows)))
+    assert sorted(map(tuple, copies.collect())) == sorted(map(tuple, mixed_documents(docs.repartition(5)).collect()))
+
+
+def test_buckets_grow_with_rows():
+    assert [bucket_digits(n) for n in (0, 1000, 1 << 28, 10**10)] == [3, 3, 4, 5]
+
+
 def test_mixed_documents_agree(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     times = mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("long").alias("count"))
