@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
 from larkspur.llm.arrowtext import parts, released, texts
-from larkspur.llm.common import cut, modest
+from larkspur.llm.common import cut, modest, sized
 from larkspur.llm.components import components
 from larkspur.llm.shingles import minhashes, set_key, shingle_sets
 
@@ -40,8 +40,8 @@ LEAF = 256
 BLOCK = 512
 #: Rows that a Python worker takes from a batch at a time.
 ROWS = 512
-#: Sets are fetched through a broadcast of their documents' ids up to this many of them, else by a shuffled join.
-BROADCAST_IDS = 500_000
+#: Sets that are verified together hold about so many bytes; a leaf's candidates with more are dealt out again, as pairs of parts.
+VERIFY_BYTES = 32 << 20
 
 
 def runs_for(recall: float, threshold: float, depth: int) -> int:
@@ -58,9 +58,9 @@ def children(node: Column, sig: Column, n: int) -> Column:
 
 
 def signed(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """id, key (the name of the set), n (its size) and sig of each row; n is 0 for a text without words."""
+    """id, text_hash, key (the name of the set), n (its size) and sig of each row; n is 0 for a text without words."""
     modest(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("__text"))
     schema = rows.drop("__text").schema.add("key", BinaryType()).add("n", LongType()).add("sig", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def signed(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
             sets = shingle_sets(texts(batch.column("__text")), SHINGLE)
             sig = minhashes(sets, MINHASHES).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, MINHASHES, dtype=np.int32)), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_key, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(set_key, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), lists], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -99,8 +99,16 @@ def dealt(found: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.withColumn("pair", F.explode(other)).select("node", "pair.x", "pair.y", "block", "key", "n", "copies", "sig", "leaves")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
-    """work on the rows of each (node, x, y); these stand together, and a group may go on in the next batch."""
+def dealt_again(marked: DataFrame) -> DataFrame:
+    """marked with part, u and v: the candidates of each (node, x, y), split into parts where their sets hold more than VERIFY_BYTES, once for each pair of parts (u <= v)."""
+    held = cut(marked.groupBy("node", "x", "y").agg(F.ceil(F.sum("n") * 8 / VERIFY_BYTES).cast("int").alias("parts")), "near-parts")
+    rows = marked.join(held, ["node", "x", "y"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts")).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("u"), F.greatest(p, F.col("part")).alias("v")))
+    return rows.withColumn("both", F.explode(other)).select(*marked.columns, "part", "both.u", "both.v")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], place: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
+    """work on the rows of each place; these stand together, and a group may go on in the next batch."""
     held: list[pd.DataFrame] = []
     out: list[pd.DataFrame] = []
 
@@ -112,11 +120,11 @@ def grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pd.DataFrame], pd
                 out.append(got)
 
     for pdf in (batch.slice(low, ROWS).to_pandas() for batch in batches for low in range(0, batch.num_rows, ROWS)):
-        names = pdf[["node", "x", "y"]].to_numpy()
+        names = pdf[place].to_numpy()
         cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(pdf)]
         for low, high in zip(cuts, cuts[1:], strict=False):
             part = pdf.iloc[low:high]
-            if held and tuple(held[-1][["node", "x", "y"]].iloc[-1]) != tuple(names[low]):
+            if held and tuple(held[-1][place].iloc[-1]) != tuple(names[low]):
                 close()
             held.append(part)
         if out:
@@ -129,7 +137,7 @@ def grouped(batches: Iterator[pa.RecordBatch], work: Callable[[pd.DataFrame], pd
 
 
 def comparable(group: pd.DataFrame, least: float) -> np.ndarray:
-    """Which pairs (row < column) of a group are to be compared here: of the blocks x and y, with similar minimum hashes."""
+    """Which pairs (row < column) of a group are to be compared here: of the blocks x and y (and the parts u and v), with similar minimum hashes."""
     sig = np.stack(group.sig.to_numpy())
     same = np.zeros((len(sig), len(sig)), np.uint8)
     for k in range(sig.shape[1]):
@@ -137,6 +145,8 @@ def comparable(group: pd.DataFrame, least: float) -> np.ndarray:
     ok = np.triu(same >= least * sig.shape[1], 1)
     if group.x.iat[0] != group.y.iat[0]:
         ok &= group.block.to_numpy()[:, None] != group.block.to_numpy()[None, :]
+    if "u" in group and group.u.iat[0] != group.v.iat[0]:
+        ok &= group.part.to_numpy()[:, None] != group.part.to_numpy()[None, :]
     return ok
 
 
@@ -207,36 +217,43 @@ def verified(group: pd.DataFrame, threshold: float, least: float) -> pd.DataFram
     return pd.DataFrame({"key": group.key.to_numpy()[at], "links": links[at].astype(np.int64), "root": group.key.to_numpy()[root[at]]})
 
 
-def similar_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """id, class_id (the least id of its group) and n_links (other documents of similarity threshold or more, copies among them) of each row of df.
-
-    Groups are the connected components of the links. A null or blank text has no shingles and is alone, as class of its own id; texts
-    with equal sets of shingles are linked. Of repeated rows each counts as a document. A null id is in a group as any other; the class
-    of a group without an id is null.
-    """
+def classed(df: DataFrame, text_col: str, id_col: str, threshold: float, recall: float) -> DataFrame:
+    """id, text_hash, class_id, first (id and text_hash of the document that stands for the group) and n_links of each row of df."""
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / MINHASHES)
     rows = cut(signed(df, text_col, id_col), "near-signed")
-    sets = cut(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-sets")
-    met = dealt(leaves(sets, runs_for(recall, threshold, DEPTH)), sets.drop("id"))
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    sets = rows.where("n > 0").groupBy("key").agg(F.min(name).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = cut(sets.withColumn("id", F.col("first.id")), "near-sets")
+    met = dealt(leaves(sets, runs_for(recall, threshold, DEPTH)), sets.drop("id", "first"))
     place = ["node", "x", "y"]
     schema = met.schema
-    together = lambda d: d.repartition(*place).sortWithinPartitions(*place)
-    marked = cut(together(met).mapInArrow(lambda it: as_batches(grouped(it, lambda g: candidates(g, least)), schema), schema), "near-candidates")
+    together = lambda d, place: d.repartition(*place).sortWithinPartitions(*place)
+    marked = cut(together(met, place).mapInArrow(lambda it: as_batches(grouped(it, place, lambda g: candidates(g, least)), schema), schema), "near-candidates")
     wanted = cut(marked.select("key").distinct().join(sets.select("key", "id"), "key"), "near-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    asked = wanted.select(F.col("id").alias("__asked")).distinct()
-    texts_of = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts_of = texts_of.join(F.broadcast(asked) if few else asked, F.col("id").eqNullSafe(F.col("__asked")), "left_semi")
-    filled = marked.join(shingled(texts_of).join(wanted.select("key"), "key", "left_semi"), "key")
-    out = "key binary, links long, root binary"
-    linked = cut(together(filled).mapInArrow(lambda it: as_batches(grouped(it, lambda g: verified(g, threshold, least)), None), out), "near-linked")
+    asked = wanted.select(F.col("id").alias("asked")).distinct()
+    texts_of = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(sized(asked), F.col("id").eqNullSafe(F.col("asked")), "left_semi")
+    filled = dealt_again(marked).join(shingled(texts_of).join(sized(wanted.select("key")), "key", "left_semi"), "key")
+    out, parts_of = "key binary, links long, root binary", [*place, "u", "v"]
+    linked = cut(together(filled, parts_of).mapInArrow(lambda it: as_batches(grouped(it, parts_of, lambda g: verified(g, threshold, least)), None), out), "near-linked")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
-    group = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    full = rows.where("n > 0").select("id", "key").join(sets.select("key", "copies"), "key").join(links, "key", "left").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = full.groupBy("component").agg(F.min("id").alias("class_id"))
-    some = full.join(names, "component").select("id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    none = rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.unionByName(none).withColumnRenamed("id", id_col)
+    group = cut(components(linked.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key"), "near-groups")
+    leading = cut(group.join(sets.select("key", "first"), "key").groupBy("component").agg(F.min("first").alias("leads")), "near-leading")
+    led = cut(group.join(leading, "component").select("key", "leads"), "near-led")
+    each = sets.select("key", "first", "copies").join(links, "key", "left").join(led, "key", "left")
+    each = cut(each.select("key", F.coalesce("leads", "first").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "near-classes")
+    some = rows.where("n > 0").select("id", "text_hash", "key").join(each, "key").select("id", "text_hash", F.col("first.id").alias("class_id"), "first", "n_links")
+    none = rows.where("n = 0").select("id", "text_hash", F.col("id").alias("class_id"), name.alias("first"), F.lit(0).cast("long").alias("n_links"))
+    return some.unionByName(none)
+
+
+def similar_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """id, class_id (the least id of its group) and n_links (other documents of similarity threshold or more, copies among them) of each row of df.
+
+    Groups are the connected components of the links. A null or blank text has no shingles and is alone, as class of its own id; texts
+    with equal sets of shingles are linked. Of repeated rows each counts as a document. A null id is in a group as any other; the class
+    of a group without an id is null. Texts of any length are compared whole. Other columns of df, whatever their names, are not read; an empty df gives an empty result.
+    """
+    return classed(df, text_col, id_col, threshold, recall).select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def shingled(df: DataFrame) -> DataFrame:
@@ -259,9 +276,14 @@ def as_batches(frames: Iterator[pd.DataFrame], schema: StructType | None) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(list(pdf[f.name]), kinds[f.name]) for f in schema], names=schema.names)
 
 
-def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """df without the documents whose class has a smaller id; rows that share the id of a row that goes, go too."""
-    classes = similar_classes(df, text_col, id_col, **options)
-    gone = cut(classes.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
-    few = gone.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """df without the documents whose group has one with a smaller id (a null id is the largest; of different texts with one id, that with the least hash stays).
+
+    A document is told by its id and its text: texts that share an id with one that goes stay, and repeated rows (one id, one text) stay or go together.
+    """
+    found = classed(df, text_col, id_col, threshold, recall)
+    gone = found.where(~(F.col("id").eqNullSafe(F.col("first.id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash"))))
+    gone = cut(gone.select(F.struct("id", "text_hash").alias("gone")).distinct(), "near-gone")
+    own = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), own.alias("own")).join(sized(gone), F.col("own") == F.col("gone"), "left_anti")
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in df.columns])

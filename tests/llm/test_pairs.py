@@ -71,9 +71,11 @@ def near_copies(n, words=60, changes=3, seed=0):
     return rows
 
 
-def test_near_join_large_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("held", [32 << 20, 8000])  # with few bytes the candidates of a leaf are verified in parts
+def test_near_join_large_group_in_blocks(spark, monkeypatch, held):
     monkeypatch.setattr(near_join, "LEAF", 16)
     monkeypatch.setattr(near_join, "BLOCK", 20)
+    monkeypatch.setattr(near_join, "VERIFY_BYTES", held)
     rows = near_copies(150) + [(1000 + i, t) for i, t in near_copies(40, seed=1)]
     got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = plain_classes(rows)
@@ -89,6 +91,9 @@ def test_near_join_odd_rows(spark):
     assert sorted(got, key=str) == sorted([(1, 1, 3), (2, 1, 3), (2, 1, 3), (None, 1, 3), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 1), (7, 6, 1), (8, 8, 0), (9, 9, 1), (10, 9, 1)], key=str)
     kept = near_join.one_of_each(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 8, 9]
+    other = spark.createDataFrame([(1, "a b c d e f g", 5), (2, "a b c d e f g", 5), (2, "quite another text of two", 5), (None, "a b c d e f g", 5), (None, "one more that is alone here", 5), (None, None, 5)], "doc_id long, text string, gone int")
+    stay = near_join.one_of_each(other)
+    assert stay.columns == other.columns and sorted(map(tuple, stay.collect()), key=str) == sorted([(1, "a b c d e f g", 5), (2, "quite another text of two", 5), (None, "one more that is alone here", 5), (None, None, 5)], key=str)
     assert near_join.similar_classes(df.limit(0)).count() == 0 and near_join.one_of_each(df.limit(0)).count() == 0
 
 
