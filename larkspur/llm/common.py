@@ -17,29 +17,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders made where spark.checkpoint.dir is unset, by application.
+#: Folders made where spark.checkpoint.dir is unset, by application, and paths that cut() has written.
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset: a fresh local one if all executors run in this process (tests), else one in the warehouse."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="larkspur-")
-        place = f"file://{_OWN[app]}"
+            alone = spark.sparkContext.master.split("[")[0] == "local"
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='larkspur-')}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/larkspur-{app}"
+        place = _OWN[app]
     return place
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends here, and a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it again: the lineage ends here, and a lost executor costs no recomputation. release() removes what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *more: str) -> None:
+    """Remove all that cut() has written so far, and these paths. Results that still read them must have been written or collected before."""
+    for path in [*_WRITTEN.pop(spark.sparkContext.applicationId, []), *more]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def modest(spark: SparkSession) -> None:
     """Arrow batches of at most ARROW_ROWS rows in this session: texts are long, and the default of 10,000 rows fills executors with buffers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,6 +1,7 @@
 """Exact dedup, source mixing and exact top-k search against plain versions, with odd rows."""
 
 import hashlib
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -203,3 +204,14 @@ def test_topk_leaves_candidates_out(spark):
         order = np.lexsort((ids, -scores[i]))[:10]
         assert search.found[i].tolist() == order.tolist() and search.scores[i].tolist() == scores[i][order].tolist()
     assert search.evaluated < 0.1 * search.compared
+
+
+def test_written_tables_are_removed(spark, tmp_path):
+    from larkspur.llm import common
+
+    common.release(spark)
+    out = common.cut(spark.range(3), "kept")
+    path = common._WRITTEN[spark.sparkContext.applicationId][0]
+    assert out.count() == 3 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    common.release(spark, str(tmp_path / "none"))
+    assert not os.path.exists(path.removeprefix("file://")) and spark.sparkContext.applicationId not in common._WRITTEN
