@@ -43,11 +43,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *more: str) -> None:
-    """Remove all that cut() has written so far, and these paths. Results that still read them must have been written or collected before."""
-    for path in [*_WRITTEN.pop(spark.sparkContext.applicationId, []), *more]:
+def mark(spark: SparkSession) -> int:
+    """The number of tables that cut() has written so far."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, *more: str, since: int = 0) -> None:
+    """Remove what cut() has written since a mark, and these paths. Results that still read them must have been written or collected before."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in [*written[since:], *more]:
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del written[since:]
 
 
 def modest(spark: SparkSession) -> None:

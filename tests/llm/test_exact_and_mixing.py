@@ -209,9 +209,10 @@ def test_topk_leaves_candidates_out(spark):
 def test_written_tables_are_removed(spark, tmp_path):
     from larkspur.llm import common
 
-    common.release(spark)
-    out = common.cut(spark.range(3), "kept")
-    path = common._WRITTEN[spark.sparkContext.applicationId][0]
+    kept = common.cut(spark.range(2), "kept")
+    since = common.mark(spark)
+    out = common.cut(spark.range(3), "gone")
+    path = common._WRITTEN[spark.sparkContext.applicationId][since]
     assert out.count() == 3 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
-    common.release(spark, str(tmp_path / "none"))
-    assert not os.path.exists(path.removeprefix("file://")) and spark.sparkContext.applicationId not in common._WRITTEN
+    common.release(spark, str(tmp_path / "none"), since=since)
+    assert not os.path.exists(path.removeprefix("file://")) and common.mark(spark) == since and kept.count() == 2
