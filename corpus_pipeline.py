@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup, language_id, mixing, near_join, sentencepieces
-from larkspur.llm.common import shared_dir, table
+from larkspur.llm.common import mark, release, shared_dir, table
 from larkspur.llm.queries import tokenizer
 
 #: A text of which no language is likelier than this is rejected, as is one without letters.
@@ -49,9 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage has written for itself is removed with its end, its result with the next one's.
+
+    Rows may repeat, ids, texts and sources may be null, texts of any length are read whole, and an empty table gives an empty result; each stage's operator says how it treats these.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
+    since = mark(spark)
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, *before, since=since)
+        docs, before = spark.read.parquet(path), [path]
     return docs
