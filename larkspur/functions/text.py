@@ -29,14 +29,26 @@ def replacement(text: str) -> str:
     return out
 
 
+def moved(text: str, by: int) -> str:
+    """A pattern or replacement whose references to groups count so many groups more."""
+    return re.sub(r"\\(\d|[^\d])", lambda m: f"\\{int(m[1]) + by}" if m[1].isdigit() and m[1] != "0" else m[0], text)
+
+
+def first_match(pattern: str, new: str) -> tuple[str, str]:
+    """Java's pattern and replacement that change the first match only: what stands before it becomes group 1 and the match group 2, so the pattern's own groups move by two."""
+    if pattern.startswith("^") and "|" not in pattern and "(?" not in pattern.replace("(?:", ""):
+        return pattern, replacement(new)
+    flags = re.match(r"(?:\(\?[a-z]+\))*", pattern)[0]
+    shifted = re.sub(r"\\([1-9&\\])|([$])", lambda m: "\\$" if m[2] else "$2" if m[1] == "&" else "\\\\" if m[1] == "\\" else f"${int(m[1]) + 2}", new)
+    return f"(?s){flags}^(.*?)({moved(pattern[len(flags):], 2)})", "$1" + shifted
+
+
 def regexp_replace(x: Column, pattern: str, new: str, flags: str = "") -> Column:
     """regexp_replace: the first match, or all with the flag g; i ignores case."""
     pattern = ("(?i)" if "i" in flags else "") + pattern
-    if "g" in flags or pattern.startswith("^"):
+    if "g" in flags:
         return F.regexp_replace(x, pattern, replacement(new))
-    # what stands before the first match becomes group 1 and the match group 2, so the pattern's own groups move by two
-    moved = re.sub(r"\\([1-7])", lambda m: f"\\{int(m[1]) + 2}", new)
-    return F.regexp_replace(x, f"(?s)^(.*?)({pattern})", "$1" + replacement(moved).replace("$0", "$2"))
+    return F.regexp_replace(x, *first_match(pattern, new))
 
 
 def to_hex(x: Column) -> Column:

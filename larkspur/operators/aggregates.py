@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def avg_numeric(x: Column, scale: int = 16) -> Column:
-    """avg of integers or decimals as a decimal."""
-    return (F.sum(x.cast("decimal(38,6)")) / F.count(x)).cast(f"decimal(38,{scale})")
+    """avg of integers or decimals of up to six places as a decimal: whole part and rest are divided apart, as one division would keep few places of a wide sum."""
+    total, n = F.sum(x.cast("decimal(22,6)")), F.count(x).cast("decimal(18,0)")
+    whole = F.floor(total / n).cast("decimal(20,0)")
+    rest = (total - whole * n).cast("decimal(24,6)") / n
+    return whole.cast(f"decimal(38,{scale})") + rest.cast(f"decimal({scale + 2},{scale})")
 
 
 def sum_offset(x: Column, k: Column | int) -> Column:
@@ -33,6 +36,16 @@ def split_distinct(df: DataFrame, keys: list[str], distinct: str, *aggs: Column,
     return join_aggregates(df.groupBy(*keys).agg(*aggs), counted, keys)
 
 
+def split_distincts(df: DataFrame, keys: list[str], distinct: dict[str, tuple], *aggs: Column) -> DataFrame:
+    """Several DISTINCT aggregates (name: column, function) beside others: an aggregation each, joined by the keys, where expanding would copy each row once for each of them."""
+    from larkspur.operators.joins import join_aggregates
+
+    out = df.groupBy(*keys).agg(*aggs)
+    for name, (column, f) in distinct.items():
+        out = join_aggregates(out, df.select(*keys, column).distinct().groupBy(*keys).agg(f(column).alias(name)), keys)
+    return out
+
+
 def interval_sum(iv: Column) -> Column:
     """The sum of intervals, field by field."""
     return F.struct(F.sum(iv["months"]).cast("int").alias("months"), F.sum(iv["days"]).cast("int").alias("days"), F.sum(iv["micros"]).alias("micros"))

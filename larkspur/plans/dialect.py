@@ -10,7 +10,11 @@ literals or quoted names:
 * ``FETCH FIRST n ROWS ONLY``: LIMIT; ``WITH TIES`` of a top-level query: rank over its order.
 * ``x !~ p``, ``x ~ p``, ``x ~* p``: rlike.
 * ``generate_series(a, b[, step])`` in FROM: explode of a sequence.
-* functions of other names: strpos, to_hex, starts_with, string_to_array, array_to_string, array_cat, array_length, unnest, jsonb_build_object ...
+* functions of other names and shapes: ``RENAMED`` and ``SHAPED``.
+* ``extract(field FROM x)``, ``date_part`` and ``date_trunc`` with PostgreSQL's fields: Sunday is 0, decades, centuries, epochs, julian days.
+* ``regexp_replace``: the first match only, all with the flag g.
+* casts to ``char(n)``: cut to n, and without the trailing blanks, which do not count where such values are compared.
+* ``/`` of integers and casts of fractions to integers, whose meaning depends on types: see ``typed.py``.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.functions.text import first_match, replacement
+from larkspur.plans import typed
+
 TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|[A-Za-z_][A-Za-z_0-9$]*|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|::|<=>|<>|!=|<=|>=|!~\*?|~\*?|\|\||->>?|.", re.S)
 #: PostgreSQL's name and Spark's, of functions with the same arguments.
 RENAMED = {
@@ -26,22 +33,61 @@ RENAMED = {
     "starts_with": "startswith",
     "array_to_string": "array_join",
     "array_cat": "concat",
-    "string_to_array": "split_exact",
     "unnest": "explode",
     "jsonb_array_length": "json_array_length",
-    "json_agg": "to_json_list",
     "random": "rand",
     "clock_timestamp": "current_timestamp",
-    "to_hex": "hex_lower",
-    "sha256": "sha256_hex",
     "every": "every",
+    "btrim": "trim",
+    "ascii": "ascii",
+    "array_remove": "array_remove",
+    "string_agg": "listagg",
+    "bool_and": "bool_and",
 }
-#: Functions that need another shape, by Spark's text with {0}, {1} for the arguments.
+#: Functions that need another shape, by the number of their arguments: Spark's text with {0}, {1} for these.
 SHAPED = {
-    "split_exact": "split({0}, concat('\\\\Q', {1}, '\\\\E'))",
-    "hex_lower": "lower(hex({0}))",
-    "sha256_hex": "sha2({0}, 256)",
-    "to_json_list": "to_json(collect_list({0}))",
+    ("string_to_array", 2): "split({0}, concat('\\\\Q', {1}, '\\\\E'))",
+    ("to_hex", 1): "lower(hex({0}))",
+    ("sha256", 1): "sha2({0}, 256)",
+    ("json_agg", 1): "to_json(collect_list({0}))",
+    ("jsonb_agg", 1): "to_json(collect_list({0}))",
+    ("array_length", 2): "CASE WHEN {1} = 1 AND size({0}) > 0 THEN size({0}) END",
+    ("cardinality", 1): "size({0})",
+    ("array_append", 2): "concat({0}, array({1}))",
+    ("array_prepend", 2): "concat(array({0}), {1})",
+    ("array_ndims", 1): "CASE WHEN size({0}) > 0 THEN 1 END",
+    ("split_part", 3): "split_part({0}, {1}, {2})",
+    ("initcap", 1): "initcap({0})",
+    ("regexp_matches", 2): "CASE WHEN {0} RLIKE {1} THEN array(regexp_extract({0}, {1})) END",
+    ("regexp_split_to_array", 2): "split({0}, {1})",
+    ("trunc", 1): "CASE WHEN {0} >= 0 THEN floor({0}) ELSE ceil({0}) END",
+    ("log", 1): "log10({0})",
+    ("div", 2): "({0} div {1})",
+    ("make_interval", 3): "make_interval({0}, {1}, {2})",
+    ("jsonb_extract_path_text", 2): "get_json_object({0}, concat('$.', {1}))",
+    ("json_extract_path_text", 2): "get_json_object({0}, concat('$.', {1}))",
+    ("cbrt", 1): "cbrt({0})",
+    ("width_bucket", 4): "width_bucket({0}, {1}, {2}, {3})",
+}
+MICROS = "unix_micros(CAST({0} AS TIMESTAMP))"
+#: Fields of a date or time that Spark lacks or counts otherwise.
+FIELDS = {
+    "dow": "(dayofweek({0}) - 1)",
+    "isodow": "(weekday({0}) + 1)",
+    "isoyear": "extract(YEAROFWEEK FROM {0})",
+    "decade": "CAST(floor(year({0}) / 10e0) AS BIGINT)",
+    "century": "CAST(ceil(year({0}) / 100e0) AS BIGINT)",
+    "millennium": "CAST(ceil(year({0}) / 1000e0) AS BIGINT)",
+    "epoch": f"({MICROS} / 1e6)",
+    "milliseconds": f"(pmod({MICROS}, 60000000L) / 1e3)",
+    "microseconds": f"pmod({MICROS}, 60000000L)",
+    "julian": f"(datediff(CAST({{0}} AS DATE), date '1970-01-01') + 2440588 + pmod({MICROS}, 86400000000L) / 864e8)",
+}
+#: date_trunc to fields that Spark lacks.
+TRUNCATED = {
+    "decade": "CAST(make_date(CAST(floor(year({0}) / 10e0) * 10 AS INT), 1, 1) AS TIMESTAMP_NTZ)",
+    "century": "CAST(make_date(CAST(floor((year({0}) - 1) / 100e0) * 100 + 1 AS INT), 1, 1) AS TIMESTAMP_NTZ)",
+    "millennium": "CAST(make_date(CAST(floor((year({0}) - 1) / 1000e0) * 1000 + 1 AS INT), 1, 1) AS TIMESTAMP_NTZ)",
 }
 COMPARE = {"=", "<>", "!=", "<", "<=", ">", ">="}
 BEFORE_OPERAND = {"select", "distinct", "where", "and", "or", "not", "on", "having", "when", "then", "else", "case", "by"}
@@ -184,28 +230,78 @@ def rows_compared(t: list[str]) -> list[str]:
     return out
 
 
+def literal(text: str) -> str | None:
+    """The value of a string constant."""
+    return text[1:-1].replace("''", "'") if len(text) > 1 and text[0] == text[-1] == "'" and TOKEN.fullmatch(text) else None
+
+
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def called(name: str, args: list[str]) -> str | None:
+    """Spark's text of a call of PostgreSQL's function, where it is another one."""
+    if name in ("extract", "date_part") and args:
+        m = re.match(r"(\w+)\s+FROM\s+(.*)$", args[0], re.I | re.S) if name == "extract" else None
+        field, x = (m[1].lower(), m[2]) if m else ((literal(args[0]) or "").lower(), args[1] if len(args) > 1 else "")
+        return FIELDS[field].format(x) if field in FIELDS else None
+    if name == "date_trunc" and len(args) == 2 and (literal(args[0]) or "").lower() in TRUNCATED:
+        return TRUNCATED[literal(args[0]).lower()].format(args[1])
+    if name == "regexp_replace" and len(args) in (3, 4) and None not in (values := [literal(x) for x in args[1:]]):
+        pattern, new, flags = values[0].replace("\\\\", "\\"), values[1].replace("\\\\", "\\"), values[2] if len(values) > 2 else ""
+        pattern = ("(?i)" if "i" in flags else "") + pattern
+        found = (pattern, replacement(new)) if "g" in flags else first_match(pattern, new)
+        return f"regexp_replace({args[0]}, {quoted(found[0])}, {quoted(found[1])})"
+    if name in ("array_agg", "json_agg", "jsonb_agg") and len(args) == 1 and (m := re.match(r"(.*?)\s+ORDER\s+BY\s+(.*?)(\s+DESC)?(?:\s+ASC)?(?:\s+NULLS\s+(?:FIRST|LAST))?$", args[0], re.I | re.S)):
+        ordered = f"transform(array_sort(collect_list(struct({m[2]} AS o, {m[1]} AS v)), (l, r) -> CASE WHEN l.o IS NULL AND r.o IS NULL THEN 0 WHEN l.o IS NULL THEN 1 WHEN r.o IS NULL THEN -1 WHEN l.o < r.o THEN -1 WHEN l.o > r.o THEN 1 ELSE 0 END), e -> e.v)"
+        ordered = f"reverse({ordered})" if m[3] else ordered
+        return ordered if name == "array_agg" else f"to_json({ordered})"
+    if (name, len(args)) in SHAPED:
+        return SHAPED[name, len(args)].format(*args)
+    if name in ("jsonb_build_object", "json_build_object"):
+        return f"to_json(named_struct({', '.join(args)}))"
+    if name in RENAMED:
+        return f"{RENAMED[name]}({', '.join(args)})"
+    return None
+
+
 def renamed(t: list[str]) -> list[str]:
     out: list[str] = []
     i = 0
     while i < len(t):
         x, j = t[i], following(t, i + 1)
-        name = RENAMED.get(x.lower())
-        if name and j < len(t) and t[j] == "(":
-            end = close_of(t, j)
-            args = split_args(renamed(t[j + 1 : end]))
-            out.append(SHAPED[name].format(*args) if name in SHAPED else f"{name}({', '.join(args)})")
-            i = end + 1
+        if j < len(t) and t[j] == "(" and (x[0].isalpha() or x[0] == "_") and (end := close_of(t, j)):
+            if x.lower() == "cast" and (inner := t[j + 1 : end]) and (m := re.match(r"(.*)\sAS\s+(?:CHAR|CHARACTER|BPCHAR)\s*\(\s*(\d+)\s*\)\s*$", "".join(inner), re.I | re.S)):
+                out.append(f"rtrim(substring(CAST({''.join(renamed(tokens(m[1])))} AS STRING), 1, {m[2]}))")
+                i = end + 1
+                continue
+            if x.lower() == "generate_series":
+                out.append(f"explode(sequence({', '.join(split_args(t[j + 1 : end]))}))")
+                i = end + 1
+                continue
+            if (shaped := called(x.lower(), split_args(renamed(t[j + 1 : end])))) is not None:
+                out.append(shaped)
+                i = end + 1
+                continue
+        if x == "::" and j < len(t) and t[j].lower() in ("char", "character", "bpchar") and (k := following(t, j + 1)) < len(t) and t[k] == "(":
+            operand: list[str] = []
+            while out and blank(out[-1]):
+                out.pop()
+            depth = 0
+            while out:
+                y = out[-1]
+                if depth == 0 and (blank(y) or y in ("(", ",", "[") or y in COMPARE):
+                    break
+                depth += (y in ")]") - (y in "([") if len(y) == 1 else 0
+                operand.insert(0, out.pop())
+            out.append(f"rtrim(substring(CAST({''.join(operand)} AS STRING), 1, {''.join(t[k + 1 : close_of(t, k)]).strip()}))")
+            i = close_of(t, k) + 1
             continue
         if x.lower() == "array" and j < len(t) and t[j] == "[":
             end = close_of(t, j)
             out.append(f"array({''.join(renamed(t[j + 1 : end]))})")
             i = end + 1
             continue
-        if x.lower() == "generate_series" and j < len(t) and t[j] == "(":
-            end = close_of(t, j)
-            out.append(f"explode(sequence({', '.join(split_args(t[j + 1 : end]))}))")
-            i = end + 1
-            continue
         if x in ("~", "!~", "~*", "!~*"):
             out.append((" NOT" if x[0] == "!" else "") + " RLIKE " + ("'(?i)' || " if x[-1] == "*" else ""))
         else:
@@ -277,4 +373,4 @@ def translate(text: str) -> str:
 
 def sql(spark: SparkSession, text: str, args: dict | list | None = None) -> DataFrame:
     """Run a PostgreSQL query; args are its parameters, by name (:name) or place (?)."""
-    return spark.sql(translate(text), args=args)
+    return typed.sql(spark, translate(text), args)

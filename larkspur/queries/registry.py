@@ -24,10 +24,13 @@ def wide(x: str, scale: int) -> str:
     return f"(CAST(CAST(sum(shiftright({x}, 20)) AS DECIMAL(38,0)) * 1048576 + CAST(sum({x} & 1048575) AS DECIMAL(38,0)) AS DOUBLE) / {scale}e0)"
 
 
-#: Sums of money, which the tables hold as doubles of two decimals: name, Spark's text and DuckDB's.
+#: Sums of money (sum_int and sum_big: of columns already in cents; the first fails beyond 64 bits), which the tables hold as doubles of two decimals: name, Spark's text and DuckDB's.
 MONEY = {
     "sum_money": (lambda x: wide(cents(x), 100), lambda x: f"CAST(sum(CAST({x} AS DECIMAL(15,2))) AS DOUBLE)"),
     "sum_product": (lambda a, b: wide(f"({cents(a)} * {cents(b)})", 10000), lambda a, b: f"CAST(sum(CAST({a} AS DECIMAL(15,2)) * CAST({b} AS DECIMAL(15,2))) AS DOUBLE)"),
+    "in_cents": (cents, lambda x: f"CAST(round({x} * 100) AS BIGINT)"),
+    "sum_int": (lambda x, scale: f"(CAST(sum({x}) AS DOUBLE) / {scale}e0)", lambda x, scale: f"(CAST(sum({x}) AS DOUBLE) / {scale}e0)"),
+    "sum_big": (lambda x, scale: wide(f"({x})", scale), lambda x, scale: f"(CAST(sum(CAST({x} AS HUGEINT)) AS DOUBLE) / {scale}e0)"),
     "sum_revenue": (
         lambda where="true": wide(f"(CASE WHEN {where} THEN {cents('l_extendedprice')} * (100 - {cents('l_discount')}) ELSE CAST(0 AS BIGINT) END)", 10000),
         lambda where="true": f"CAST(sum(CASE WHEN {where} THEN CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2))) ELSE 0 END) AS DOUBLE)",
@@ -36,7 +39,7 @@ MONEY = {
 
 
 def expanded(sql_text: str, which: int) -> str:
-    return re.sub(r"\b(sum_money|sum_product|sum_revenue)\(([^()]*)\)", lambda m: MONEY[m[1]][which](*[a.strip() for a in m[2].split(",") if a.strip()]), sql_text)
+    return re.sub(r"\b(sum_money|sum_product|sum_revenue|sum_int|sum_big|in_cents)\(((?:[^()]|\([^()]*\))*)\)", lambda m: MONEY[m[1]][which](*[a.strip() for a in m[2].split(",") if a.strip()]), sql_text)
 
 
 def text(name: str, spark_sql: str, oracle: str | None = None) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from larkspur.functions import datetime as dt
 from larkspur.functions import nested, numeric
 from larkspur.functions import text as tx
 from larkspur.queries.registry import query, text
-from larkspur.session import table
+from larkspur.session import shared_dir, table
 from larkspur.sources import parquet
 
 text("scan_filter_project", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2 FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'A'")
@@ -56,10 +54,10 @@ def parquet_file_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet.file_schema(spark, f"{sf_dir}/supplier.parquet").select("column_name").distinct()
 
 
-@query("SELECT count(*) AS n, count(*) > 0 AS some FROM nation")
+@query("SELECT n_nationkey, CAST(row_number() OVER () - 1 AS BIGINT) AS row_index, true AS own_file FROM nation")
 def system_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").select("*", "_metadata.file_path", "_metadata.row_index")
-    return rows.groupBy("file_path", "row_index").count().agg(F.count("*").alias("n"), (F.count("*") > 0).alias("some"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "_metadata.row_index", "_metadata.file_path")
+    return rows.select("n_nationkey", "row_index", F.col("file_path").contains("nation.parquet").alias("own_file"))
 
 
 # predicates
@@ -118,24 +116,16 @@ text("math_functions", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS sq,
      "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS sq, CAST(ceil(c_acctbal) AS BIGINT) AS up, CAST(floor(c_acctbal) AS BIGINT) AS down, round(exp(c_acctbal / 10000), 6) AS ex, round(ln(abs(c_acctbal) + 1), 6) AS lg, CAST(sign(c_acctbal) AS DOUBLE) AS sg, round(power(c_acctbal, 2), 2) AS p2 FROM customer")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST((l_partkey - 1000) // 7 AS BIGINT) AS d, (l_partkey - 1000) % 7 AS m, CAST(-7 // 2 AS INTEGER) AS neg FROM lineitem")
-def int_div_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("l_partkey") - 1000
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numeric.div(x, F.lit(7), "bigint").alias("d"), numeric.mod(x, F.lit(7)).alias("m"), numeric.div(F.lit(-7), F.lit(2)).alias("neg"))
+text("int_div_mod", "SELECT l_orderkey, l_linenumber, (l_partkey - 1000) / 7 AS d, (l_partkey - 1000) % 7 AS m, CAST(-7 / 2 AS BIGINT) AS neg, l_partkey / 2 / 3 AS twice FROM lineitem",
+     "SELECT l_orderkey, l_linenumber, CAST((l_partkey - 1000) // 7 AS BIGINT) AS d, (l_partkey - 1000) % 7 AS m, CAST(-3 AS BIGINT) AS neg, CAST(l_partkey // 2 // 3 AS BIGINT) AS twice FROM lineitem")
 
 
 text("neg_abs", "SELECT c_custkey, -c_acctbal AS neg, abs(c_acctbal) AS pos, abs(c_nationkey - 12) AS dist FROM customer")
 text("casts_narrow", "SELECT l_orderkey, CAST(l_partkey AS INT) AS i, CAST(l_linenumber AS SMALLINT) AS s, CAST(l_linenumber AS BIGINT) AS b, CAST(l_linenumber AS DOUBLE) AS f, CAST(l_partkey AS VARCHAR(20)) AS t FROM lineitem")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(l_tax * 50 AS INTEGER) AS i, CAST(l_extendedprice AS BIGINT) AS b FROM lineitem")
-def rint_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numeric.to_int(F.col("l_tax") * 50).alias("i"), numeric.to_int(F.col("l_extendedprice"), "bigint").alias("b"))
-
-
-@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS BIGINT) AS whole FROM orders")
-def numeric_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", numeric.numeric_to_int(F.col("o_totalprice").cast("decimal(15,2)"), "bigint").alias("whole"))
+text("rint_cast", "SELECT l_orderkey, l_linenumber, CAST(l_tax * 50 AS INTEGER) AS i, l_extendedprice::BIGINT AS b FROM lineitem")
+text("numeric_cast", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS BIGINT) AS whole FROM orders")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(gcd(l_partkey, l_suppkey) AS BIGINT) AS g, CAST(lcm(l_partkey, l_suppkey) AS BIGINT) AS l FROM lineitem")
@@ -160,20 +150,14 @@ text("to_hex_sha", "SELECT c_custkey, to_hex(c_custkey) AS h, sha256(c_name) AS
 text("regex_operators", "SELECT page_id, url ~ '^https' AS secure, url !~ 'example' AS other, url ~* 'EXAMPLE\\\\.NET' AS net FROM pages", "SELECT page_id, regexp_matches(url, '^https') AS secure, NOT regexp_matches(url, 'example') AS other, regexp_matches(url, 'EXAMPLE\\.NET', 'i') AS net FROM pages")
 
 
-@query("SELECT id, rtrim(a) = rtrim(b) AS eq FROM (VALUES (1, 'ab  ', 'ab'), (2, 'ab', 'a b'), (3, NULL, 'x'), (4, '', '   ')) v(id, a, b)")
-def char_pad_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(1, "ab  ", "ab"), (2, "ab", "a b"), (3, None, "x"), (4, "", "   ")], "id int, a string, b string").select("id", tx.bpchar_eq(F.col("a"), F.col("b")).alias("eq"))
-
+text("char_pad_compare", "SELECT c_custkey, CAST(c_mktsegment || '  ' AS CHAR(12)) = CAST(c_mktsegment AS CHAR(12)) AS eq, c_mktsegment::char(4) = 'BUIL' AS cut_, length(CAST('ab  ' AS CHAR(4))) AS n FROM customer",
+     "SELECT c_custkey, rtrim(c_mktsegment) = rtrim(c_mktsegment || '  ') AS eq, rtrim(c_mktsegment[1:4]) = 'BUIL' AS cut_, CAST(2 AS INTEGER) AS n FROM customer")
 
-@query("SELECT regexp_replace(url, '^https?://(?:www\\.)?([^/]+)/.*$', '\\1') AS host, count(*) AS n, CAST(sum(length(url)) AS BIGINT) AS total FROM pages GROUP BY 1")
-def regexp_replace_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = tx.regexp_replace(F.col("url"), r"^https?://(?:www\.)?([^/]+)/.*$", r"\1")
-    return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.sum(F.length("url")).alias("total"))
 
-
-@query("SELECT page_id, regexp_replace(url, '([a-z])/([a-z])', '\\2<\\1>') AS first_only, regexp_replace(url, '[aeiou]', '_', 'g') AS all_vowels FROM pages")
-def regexp_replace_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", tx.regexp_replace(F.col("url"), "([a-z])/([a-z])", r"\2<\1>").alias("first_only"), tx.regexp_replace(F.col("url"), "[aeiou]", "_", "g").alias("all_vowels"))
+text("regexp_replace_host", r"SELECT regexp_replace(url, '^https?://(?:www\.)?([^/]+)/.*$', '\1') AS host, count(*) AS n, CAST(sum(length(url)) AS BIGINT) AS total FROM pages GROUP BY 1")
+text("regexp_replace_first", r"SELECT page_id, regexp_replace(url, '([a-z])/([a-z])', '\2<\1>') AS first_only, regexp_replace(url, '[aeiou]', '_', 'g') AS all_vowels, regexp_replace(url, '^x|t', '') AS one_of FROM pages")
+text("regexp_replace_back_reference", r"SELECT page_id, regexp_replace(url, '([a-z])\1', '<\1>') AS doubled FROM pages WHERE url IS NOT NULL",
+     "SELECT page_id, CASE WHEN spot = 0 THEN url ELSE url[1:spot - 1] || '<' || url[spot] || '>' || url[spot + 2:] END AS doubled FROM (SELECT *, coalesce(list_min(list_filter(range(1, length(url)), lambda i: url[i] = url[i + 1] AND url[i] >= 'a' AND url[i] <= 'z')), 0) AS spot FROM pages WHERE url IS NOT NULL)")
 
 
 # dates
@@ -181,17 +165,10 @@ def regexp_replace_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIELDS = ("year", "quarter", "month", "week", "day", "doy", "hour", "minute", "dow", "isodow", "isoyear", "decade", "century", "millennium")
 
 
-@query("SELECT event_id, " + ", ".join(f"CAST(extract({f} FROM ts) AS BIGINT) AS {f}_" for f in FIELDS) + " FROM events")
-def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", *[dt.extract(f, F.col("ts")).alias(f"{f}_") for f in FIELDS])
-
-
-@query("SELECT event_id, CAST(extract(epoch FROM ts) AS DOUBLE) AS epoch_, CAST(extract(milliseconds FROM ts) AS BIGINT) AS ms, CAST(extract(microseconds FROM ts) AS BIGINT) AS us, CAST(floor(extract(julian FROM ts)) AS BIGINT) AS jd FROM events")
-def extract_pg_only_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ts = F.col("ts")
-    return table(spark, sf_dir, "events").select("event_id", dt.extract("epoch", ts).alias("epoch_"), F.floor(dt.extract("milliseconds", ts)).cast("bigint").alias("ms"), dt.extract("microseconds", ts).alias("us"), F.floor(dt.extract("julian", ts)).cast("bigint").alias("jd"))
+text("extract_fields", "SELECT event_id, " + ", ".join(f"CAST(extract({f} FROM ts) AS BIGINT) AS {f}_" for f in FIELDS) + " FROM events")
 
 
+text("extract_pg_only_fields", "SELECT event_id, CAST(extract(epoch FROM ts) AS DOUBLE) AS epoch_, CAST(floor(extract(milliseconds FROM ts)) AS BIGINT) AS ms, CAST(extract(microseconds FROM ts) AS BIGINT) AS us, CAST(floor(extract(julian FROM ts)) AS BIGINT) AS jd FROM events")
 text("date_part", "SELECT o_orderkey, CAST(date_part('year', o_orderdate) AS BIGINT) AS y, CAST(date_part('month', o_orderdate) AS BIGINT) AS m FROM orders")
 
 
@@ -200,9 +177,8 @@ def date_trunc_day_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[dt.date_trunc(f, F.col("ts")).alias(f"{f}_") for f in ("day", "hour", "minute", "second")])
 
 
-@query("SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{f}', o_orderdate) AS TIMESTAMP) AS {f}_" for f in ("week", "month", "quarter", "year", "decade")) + ", " + ", ".join(f"CAST(make_date(CAST((year(o_orderdate) - 1) // {n} * {n} + 1 AS INTEGER), 1, 1) AS TIMESTAMP) AS {f}_" for f, n in (("century", 100), ("millennium", 1000))) + " FROM orders")
-def date_trunc_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", *[dt.date_trunc(f, F.col("o_orderdate")).alias(f"{f}_") for f in ("week", "month", "quarter", "year", "decade", "century", "millennium")])
+text("date_trunc_coarse", "SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{f}', o_orderdate) AS TIMESTAMP_NTZ) AS {f}_" for f in ("week", "month", "quarter", "year", "decade", "century", "millennium")) + " FROM orders",
+     "SELECT o_orderkey, " + ", ".join(f"CAST(date_trunc('{f}', o_orderdate) AS TIMESTAMP) AS {f}_" for f in ("week", "month", "quarter", "year", "decade")) + ", " + ", ".join(f"CAST(make_date(CAST((year(o_orderdate) - 1) // {n} * {n} + 1 AS INTEGER), 1, 1) AS TIMESTAMP) AS {f}_" for f, n in (("century", 100), ("millennium", 1000))) + " FROM orders")
 
 
 @query("SELECT event_id, CAST(make_timestamp(CAST(value * 1000000 AS BIGINT)) AS TIMESTAMP) AS t FROM (SELECT event_id, CAST(floor(value) AS DOUBLE) AS value FROM events)")
@@ -225,16 +201,20 @@ def interval_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # nested and JSON
 
-text("array_functions", "SELECT vec_id, cardinality(array_cat(ARRAY[1, 2], ARRAY[3])) AS n, array_to_string(ARRAY['a', 'b'], '-') AS joined FROM embeddings", "SELECT vec_id, CAST(len([1, 2, 3]) AS INTEGER) AS n, 'a-b' AS joined FROM embeddings")
+text("array_functions", "SELECT vec_id, cardinality(array_cat(ARRAY[vec_id, 2], ARRAY[label])) AS n, array_to_string(ARRAY[CAST(vec_id AS VARCHAR(20)), CAST(label AS VARCHAR(20))], '-') AS joined, array_length(embedding, 1) AS dims, array_append(ARRAY[vec_id], 7) AS longer, string_to_array(concat(label, ',', vec_id), ',') AS parts FROM embeddings",
+     "SELECT vec_id, CAST(3 AS INTEGER) AS n, vec_id || '-' || label AS joined, CAST(len(embedding) AS INTEGER) AS dims, [vec_id, 7] AS longer, [CAST(label AS VARCHAR), CAST(vec_id AS VARCHAR)] AS parts FROM embeddings")
+text("json_build", "SELECT c_custkey, jsonb_build_object('id', c_custkey, 'seg', c_mktsegment) AS j FROM customer", "SELECT c_custkey, CAST(json_object('id', c_custkey, 'seg', c_mktsegment) AS VARCHAR) AS j FROM customer")
+text("split_and_case", "SELECT c_custkey, split_part(c_name, '#', 2) AS number, initcap(lower(c_mktsegment)) AS seg, btrim(concat('  ', c_mktsegment, ' ')) AS bare FROM customer", "SELECT c_custkey, split_part(c_name, '#', 2) AS number, upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) AS seg, c_mktsegment AS bare FROM customer")
+text("integer_average", "SELECT l_returnflag, sum(l_linenumber) / count(*) AS whole, CAST(avg(l_quantity) AS BIGINT) AS near FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) // count(*) AS BIGINT) AS whole, CAST(avg(l_quantity) AS BIGINT) AS near FROM lineitem GROUP BY l_returnflag")
+text("array_agg_ordered", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_orderkey DESC) AS keys FROM orders GROUP BY o_custkey", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_orderkey DESC) AS keys FROM orders GROUP BY o_custkey")
 text("unnest_ordinality", "SELECT vec_id, CAST(pos + 1 AS BIGINT) AS place, x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) t AS pos, x", "SELECT vec_id, CAST(p.i AS BIGINT) AS place, embedding[p.i] AS x FROM embeddings, (SELECT unnest([1, 2, 3]) AS i) p")
 text("json_field", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
 
 
-@query("SELECT event_type, CAST(m AS INTEGER) AS k_a, true AS has_a, true AS has_any, false AS has_none FROM (SELECT event_type, count(*) AS m FROM events GROUP BY event_type)")
+@query("SELECT event_id, CAST(user_id AS INTEGER) AS k_a, true AS has_a, event_type IN ('z', 'b', 'click') AS has_any, event_type = 'view' AS has_view FROM events")
 def hstore_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.create_map(F.lit("a"), F.col("n"), F.lit("b"), F.lit(None).cast("bigint"))
-    grouped = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return grouped.select("event_type", nested.fetch(m, "a").cast("int").alias("k_a"), nested.has_key(m, "a").alias("has_a"), nested.has_any(m, F.array(F.lit("z"), F.lit("b"))).alias("has_any"), nested.has_key(m, "z").alias("has_none"))
+    m = F.create_map(F.lit("a"), F.col("user_id"), F.col("event_type"), F.lit(None).cast("bigint"))
+    return table(spark, sf_dir, "events").select("event_id", nested.fetch(m, "a").cast("int").alias("k_a"), nested.has_key(m, "a").alias("has_a"), nested.has_any(m, F.array(F.lit("z"), F.lit("b"), F.lit("click"))).alias("has_any"), nested.has_key(m, "view").alias("has_view"))
 
 
 @query("SELECT id, list_transform(a, lambda x: CASE WHEN x = 1 THEN 9 ELSE x END) AS replaced, list_filter([CASE WHEN a[1] = 1 THEN 1 END, CASE WHEN a[2] = 1 THEN 2 END, CASE WHEN a[3] = 1 THEN 3 END], lambda i: i IS NOT NULL) AS places FROM (VALUES (1, [1, 2, 1]), (2, [3, NULL, 1])) v(id, a)")
@@ -245,12 +225,10 @@ def array_replace_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, CAST(sum(octet_length(CAST(x AS BLOB))) AS BIGINT) AS total FROM (SELECT r_name AS x FROM region)".replace("octet_length(CAST(x AS BLOB))", "strlen(x)"))
 def copy_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """COPY TO and FROM: the table as CSV in the shared folder, read again."""
-    import tempfile
+    """COPY TO and FROM: the table as CSV in a shared folder, read again."""
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = os.path.join(folder, f"copy-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/copy-{uuid.uuid4().hex}"
     table(spark, sf_dir, "region").write.option("header", True).csv(path)
     back = spark.read.option("header", True).schema("r_regionkey int, r_name string").csv(path)
     return back.agg(F.count("*").alias("n"), F.sum(F.octet_length("r_name")).alias("total"))

@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def refresh() -> None:
     """Forget the columns of all tables, for files that have been replaced by ones with others."""
     _SCHEMAS.clear()

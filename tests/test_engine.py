@@ -213,3 +213,31 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = events.windowed(source).select("window_start", "event_type", "n")
     assert spark.table("windows_out").select("window_start", "event_type", "n").exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("expression, want", [
+    ("7 / 2", 3), ("-7 / 2", -3), ("(7 / 2) / 2", 1), ("8 / 2 / 3", 1), ("7.5e0 / 2", 3.75), ("CAST(2.5e0 AS INT)", 2), ("CAST(3.5e0 AS INT)", 4), ("(2.5e0)::int", 2), ("CAST(2.5 AS INT)", 3), ("CAST(-2.5 AS BIGINT)", -3),
+    ("regexp_replace('aab', 'a', 'x')", "xab"), (r"regexp_replace('xaab', '(.)\\1', 'Z')", "xZb"), ("regexp_replace('abb', '^a|b', '')", "bb"), ("regexp_replace('aab', 'A', 'x', 'gi')", "xxb"),
+    ("extract(dow FROM date '2024-01-07')", 0), ("date_part('isodow', date '2024-01-07')", 7), ("extract(century FROM date '2000-12-31')", 20), ("CAST(date_trunc('decade', timestamp_ntz '1997-05-05 00:00:00') AS VARCHAR(30))", "1990-01-01 00:00:00"),
+    ("'a  '::char(3) = 'a'", True), ("CAST('abcd' AS CHAR(2))", "ab"), ("array_length(ARRAY[1, 2, 3], 1)", 3), ("jsonb_build_object('a', 1, 'b', 'x')", '{"a":1,"b":"x"}'), ("split_part('a-b-c', '-', 2)", "b"),
+])
+def test_sql_text_means_what_postgresql_says(spark, expression, want):
+    from larkspur.plans.dialect import sql
+
+    assert sql(spark, f"SELECT {expression} AS x").collect()[0][0] == want
+
+
+def test_types_decide_in_subqueries_too(spark):
+    from larkspur.plans.dialect import sql
+
+    rows = sql(spark, "WITH w AS (SELECT a / 2 AS h FROM (VALUES (7), (9)) v(a)) SELECT h FROM w WHERE h IN (SELECT 14 / 4) OR EXISTS (SELECT 1 WHERE 7 / 2 = 3 AND h = 4)")
+    assert sorted(r.h for r in rows.collect()) == [3, 4]
+
+
+def test_averages_keep_their_places(spark):
+    from decimal import Decimal
+
+    from larkspur.operators.aggregates import avg_numeric
+
+    got = spark.range(1, 8).select((F.col("id") * 10**12 + F.when(F.col("id") == 7, 1).otherwise(0)).alias("x")).agg(avg_numeric(F.col("x"))).first()[0]
+    assert got == Decimal("4000000000000.1428571428571429") or abs(got - Decimal("4000000000000.1428571428571429")) < Decimal("1e-15")
