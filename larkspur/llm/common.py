@@ -90,7 +90,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 #: Broadcasts hold at most so many bytes as text.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def sized(df: DataFrame) -> DataFrame:

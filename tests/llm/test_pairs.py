@@ -276,6 +276,10 @@ def test_edit_distance_of_long_lines():
         x, y = rng.integers(0, 4, rng.integers(0, 14)), rng.integers(0, 4, rng.integers(0, 14))
         d = plain_distance(x.tolist(), y.tolist())
         assert [simhash.within(x, y, k) for k in range(16)] == [k >= d for k in range(16)]
+        sure = simhash.surely_within([x] * 16, [y] * 16, np.arange(16))
+        assert (sure <= (np.arange(16) >= d)).all() and sure[max(len(x), len(y)) :].all()
+        if len(x) == len(y):
+            assert sure[(x != y).sum() :].all()
 
 
 def test_lines_odd_rows(spark):
