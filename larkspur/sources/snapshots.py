@@ -51,14 +51,20 @@ class SnapshotTable:
         return json.loads(self.spark.read.text(f"{self.path}/manifests/{version:08d}.json", wholetext=True).first()[0])
 
     def _commit(self, base: int, content: dict) -> int:
+        """A manifest is written under another name and then renamed, which fails if the version is there: readers see whole manifests only, and of two writers one wins."""
         version = base + 1
-        at = self._path(f"{self.path}/manifests/{version:08d}.json")
+        at, draft = self._path(f"{self.path}/manifests/{version:08d}.json"), self._path(f"{self.path}/manifests/.{uuid.uuid4().hex}.draft")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(content | {"version": version}).encode()))
+        out.close()
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = self._fs.create(at, False)  # fails if the file is there: the one atomic step of a commit
+            context.rename(draft, at, options)
         except Exception as e:
+            self._fs.delete(draft, False)
             raise Conflict(f"version {version} of {self.path} exists") from e
-        out.write(bytearray(json.dumps(content | {"version": version}).encode()))
-        out.close()
         return version
 
     # definition
@@ -83,27 +89,39 @@ class SnapshotTable:
         if not m["files"]:
             empty = self.spark.createDataFrame([], StructType([StructField(c["name"], _type(c["type"])) for c in m["columns"]]))
             return empty.withColumn("__file", F.lit("")).withColumn("__place", F.lit(0).cast("long"))
-        groups: dict[str, list[dict]] = {}
+        touched = {n for d in m["deletes"] for n in d["of"]}
+        groups: dict[tuple[str, bool], list[dict]] = {}
         for f in m["files"]:
-            groups.setdefault(json.dumps(f["columns"], sort_keys=True), []).append(f)
+            groups.setdefault((json.dumps(f["columns"], sort_keys=True), f["key"] in touched), []).append(f)
         parts = []
-        for stored, files in groups.items():  # one scan for all files written with the same columns
+        for (stored, hit), files in groups.items():  # one scan for all files written with the same columns, those without deleted rows apart
             kinds = json.loads(stored)
             written = StructType([StructField(f"c{i}", _type(t)) for i, t in kinds.items()])
             scan = self.spark.read.schema(written).parquet(*[f"{self.path}/{f['name']}" for f in files])
             columns = [(F.col(f"c{c['id']}") if str(c["id"]) in kinds else F.lit(c["default"])).cast(_type(c["type"])).alias(c["name"]) for c in m["columns"]]
-            parts.append(scan.select(*columns, F.element_at(F.split("_metadata.file_path", "/"), -1).alias("__file"), F.col("_metadata.row_index").alias("__place")))
+            rows = scan.select(*columns, F.regexp_extract("_metadata.file_path", "^.*/data/(.*)$", 1).alias("__file"), F.col("_metadata.row_index").alias("__place"))
+            if hit:
+                here = {f["key"] for f in files}
+                gone = self.spark.read.schema("__file string, __place long").parquet(*[f"{self.path}/{d['name']}" for d in m["deletes"] if here & set(d["of"])])
+                rows = rows.join(gone, ["__file", "__place"], "left_anti")
+            parts.append(rows)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        if m["deletes"]:
-            gone = self.spark.read.schema("__file string, __place long").parquet(*[f"{self.path}/{d}" for d in m["deletes"]])
-            out = out.join(gone, ["__file", "__place"], "left_anti")
         return out.select(*names, "__file", "__place")
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of the newest or a given version."""
-        return self._rows(self.manifest(version)).drop("__file", "__place")
+    def read(self, version: int | None = None, where: dict[str, list] | None = None) -> DataFrame:
+        """The rows of the newest or a given version; where: values of partition columns, whose folders alone are read."""
+        m = self.manifest(version)
+        for name, values in (where or {}).items():
+            own = next(f"p{c['id']}" for c in m["columns"] if c["name"] == name)
+            wanted = {"__HIVE_DEFAULT_PARTITION__" if v is None else str(v) for v in values}
+            m = m | {"files": [f for f in m["files"] if own not in f.get("part", {}) or f["part"][own] in wanted]}
+        rows = self._rows(m).drop("__file", "__place")
+        for name, values in (where or {}).items():
+            some = [v for v in values if v is not None]
+            rows = rows.where(F.col(name).isin(some) | F.col(name).isNull() if len(some) < len(values) else F.col(name).isin(some))
+        return rows
 
     # writing
 
@@ -126,21 +144,42 @@ class SnapshotTable:
         """New data files with rows; a failed write leaves files that no manifest names."""
         folder = f"data/{uuid.uuid4().hex}"
         stored = rows.select(*[F.col(c["name"]).alias(f"c{c['id']}") for c in m["columns"]])
-        names = {c["name"]: f"c{c['id']}" for c in m["columns"]}
-        by = [names[p] for p in m["partition_by"]]
-        if by:
-            stored = stored.repartition(*by).sortWithinPartitions(*by)  # each partition's rows together, so that row-group ranges prune
-        stored.write.parquet(f"{self.path}/{folder}")
+        ids = {c["name"]: c["id"] for c in m["columns"]}
+        by = [f"p{ids[p]}" for p in m["partition_by"]]
+        writer = stored.write
+        if by:  # a folder for each value; a value of many rows is dealt over several tasks as the plan runs
+            stored = stored.withColumns({f"p{ids[p]}": F.col(f"c{ids[p]}") for p in m["partition_by"]})
+            writer = stored.hint("rebalance", *by).write.partitionBy(*by)
+        writer.parquet(f"{self.path}/{folder}")
         kinds = {str(c["id"]): c["type"] for c in m["columns"]}
-        return [{"name": f"{folder}/{n}", "columns": kinds} for n in self._list(folder)]
-
-    def _list(self, folder: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.getPath().getName().endswith(".parquet"))
-
-    def _deletes(self, rows: DataFrame) -> list[str]:
+        part = lambda n: dict(x.split("=", 1) for x in n.split("/")[:-1])
+        return [{"name": f"{folder}/{n}", "key": f"{folder.removeprefix('data/')}/{key}", "columns": kinds, "part": part(n)} for n, key in self._list(folder)]
+
+    def _list(self, folder: str) -> list[tuple[str, str]]:
+        """The Parquet files of a folder and the folders in it: their paths from there, and these as Spark writes them in file_path."""
+        out, found = [], self._fs.listFiles(self._path(f"{self.path}/{folder}"), True)
+        while found.hasNext():
+            path = found.next().getPath()
+            if path.getName().endswith(".parquet"):
+                out.append((path.toString().rpartition(f"{folder}/")[2], path.toUri().toString().rpartition(f"{folder}/")[2]))
+        return sorted(out)
+
+    def _deletes(self, rows: DataFrame) -> list[dict]:
+        """Files that name deleted rows by data file and place, and the data files that they touch, of which there are no more than the table has."""
         folder = f"deletes/{uuid.uuid4().hex}"
         rows.select("__file", "__place").write.parquet(f"{self.path}/{folder}")
-        return [f"{folder}/{n}" for n in self._list(folder)]
+        names = self._list(folder)
+        if not names:
+            return []
+        gone = self.spark.read.schema("__file string, __place long").parquet(f"{self.path}/{folder}")
+        touched = gone.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).agg(F.collect_set("__file").alias("of")).collect()
+        return [{"name": f"{folder}/{r.name}", "of": sorted(r.of)} for r in touched]
+
+    def _once(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """rows, written once and read from there, so that what they depend on is evaluated once; and the folder."""
+        folder = f"{self.path}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder), folder
 
     def insert(self, rows: DataFrame) -> int:
         """Add rows; missing columns get their defaults. Returns the new version."""
@@ -154,10 +193,11 @@ class SnapshotTable:
 
     def update(self, condition: Column | str, values: dict[str, Column]) -> int:
         m = self.manifest()
-        hit = self._rows(m).where(condition)
+        hit, staged = self._once(self._rows(m).where(condition))
         changed = hit.select(*[values.get(c["name"], F.col(c["name"])).alias(c["name"]) for c in m["columns"]])
-        files = self._write(self._checked(changed, m), m)
-        return self._commit(m["version"], m | {"files": m["files"] + files, "deletes": m["deletes"] + self._deletes(hit)})
+        files, deletes = self._write(self._checked(changed, m), m), self._deletes(hit)
+        self._fs.delete(self._path(staged), True)
+        return self._commit(m["version"], m | {"files": m["files"] + files, "deletes": m["deletes"] + deletes})
 
     def merge(self, source: DataFrame, on: list[str], update: dict[str, Column] | None = None, insert: bool = True, delete_when: Column | None = None) -> int:
         """MERGE by equality on columns; values and conditions may name the source's columns as s_<name>. Fails if two source rows meet one row."""
