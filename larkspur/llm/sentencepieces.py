@@ -32,7 +32,7 @@ from larkspur.llm.common import carried, modest, shipped
 MARK = "▁"
 #: No piece holds a mark after another character, or a line end: pieces stay within these words.
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 MEMO = 1 << 19
 #: Paths are kept for so many positions of a word; beyond, they are read back from the last pieces.
 KEPT = 64
