@@ -6,8 +6,9 @@ pigeonhole blocks of bits: a block names the bucket that a line is sent to, and
 blocks again. Candidates that meet and differ in at most NEAR bits are verified by the edit similarity of their words; of
 each connected group of lines the first occurrence, by document id and place, stays.
 
-No step emits all pairs of a group: in a long run of lines with equal blocks each line is only paired with the run's leaders, the first of
-its lines that are not near an earlier leader. What is near other lines of the run only is to be met in another table.
+No step emits all pairs of a group: in a long run of lines with equal blocks each line is first paired with the run's leaders, the first of
+its lines that are not near an earlier leader. The entries of lines in near pairs that this leaves out are kept, and once the groups of
+the first pairs are known, all pairs of them that lie in different groups are verified too, as those in one group can join nothing.
 
 Lines shuffle as numbers; entries of many lines go together as one binary value, so that rows cost nothing. A bucket of more than HOT lines
 is dealt out as pairs of blocks. Signing a line with built-in expressions takes a row for each word and joining by them a row
@@ -44,6 +45,9 @@ BLOB = 1 << 11
 #: Pairs with a line of more words are not verified by the built-in distance, whose cost grows with the square of their length.
 LONG = 2048
 PAIR = "a struct<h:bigint,s:bigint>, b struct<h:bigint,s:bigint>"
+LINE = pa.struct([("h", pa.int64()), ("s", pa.int64())])
+#: The rest of an entry whose line is a: its cell, its turned SimHash and the bits of its cell's blocks.
+OPEN = "cell bigint, x bigint, y bigint, bits int"
 
 
 def lowered(column: pa.Array) -> list[bytes]:
@@ -144,42 +148,99 @@ def dealt(lines: DataFrame, plan: Plan, hot: dict[int, int], n_parts: int) -> Da
     return lines.select("h", "s", "t").mapInArrow(run, "part int, entries binary")
 
 
+def named(h: np.ndarray, s: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(h), pa.array(s)], fields=list(LINE))
+
+
 def candidates(lines: DataFrame) -> DataFrame:
-    """a, b: the pairs of lines (h, s, t) that meet and differ in at most NEAR bits."""
+    """a, b: pairs of lines (h, s, t) that meet and differ in at most NEAR bits, which may come again; and with b null the entries among which the others are (across_groups)."""
     plan = Plan.of(lines.count())
     hot, n_parts = hot_cells(lines, plan), 8 * width(lines.sparkSession)
+    schema = f"{PAIR}, {OPEN}"
+    names = ["a", "b", "cell", "x", "y", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
 
-        def met() -> pa.RecordBatch:
+        def met() -> Iterator[pa.RecordBatch]:
             e = np.frombuffer(b"".join(held), ENTRY)
-            pairs, s = simhash.part_pairs(e, plan), simhash.unturned(e, plan)
-            named = lambda k: pa.StructArray.from_arrays([pa.array(e["h"][k]), pa.array(s[k])], ["h", "s"])
             held.clear()
-            return pa.RecordBatch.from_arrays([named(pairs[:, 0]), named(pairs[:, 1])], names=["a", "b"])
+            pairs, at, bits = simhash.part_search(e, plan)
+            s = simhash.unturned(e, plan)
+            i, j = pairs.T
+            none = [pa.nulls(len(i), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([named(e["h"][i], s[i]), named(e["h"][j], s[j]), *none], names=names)
+            rest = [pa.array(e[c][at].view(np.int64)) for c in ("cell", "a", "b")]
+            yield pa.RecordBatch.from_arrays([named(e["h"][at], s[at]), pa.nulls(len(at), LINE), *rest, pa.array(bits.astype(np.int32))], names=names)
 
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
                 if part != of and held:
-                    yield met()
+                    yield from met()
                     released()
                 of = part
                 held.append(blob)
         if held:
-            yield met()
+            yield from met()
 
     together = dealt(lines, plan, hot, n_parts).repartition(width(lines.sparkSession), "part").sortWithinPartitions("part")
-    return together.mapInArrow(run, PAIR).distinct()
+    return together.mapInArrow(run, schema)
+
+
+def across_groups(entries: DataFrame, members: DataFrame, lines: int) -> DataFrame:
+    """a, b: all pairs of lines of these entries (a, cell, x, y, bits) that meet, differ in at most NEAR bits and are not in one group; members (node, component) are in groups, other lines alone."""
+    plan = Plan.of(lines)
+    labelled = entries.join(sized(members.withColumnRenamed("node", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    apart = labelled.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
+    labelled = labelled.join(sized(cut(apart, "line-cells")), "cell", "left_semi")
+    flat = labelled.select("cell", "x", "y", "bits", *[F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("a", "component") for k in ("h", "s")])
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = lambda c: np.concatenate([x.column(c).to_numpy() for x in held])
+        e = np.empty(sum(x.num_rows for x in held), ENTRY)
+        for to, c in (("cell", "cell"), ("h", "a_h"), ("a", "x"), ("b", "y")):
+            e[to] = column(c).view(e[to].dtype)
+        group = np.stack([column("component_h"), column("component_s")], 1)
+        _, label = np.unique(group, axis=0, return_inverse=True)
+        s, bits = column("a_s"), column("bits").astype(np.int64)
+        held.clear()
+        for pairs in simhash.pairs_across(e, bits, label.reshape(-1), plan):
+            for low in range(0, len(pairs), LINES):
+                i, j = pairs[low : low + LINES].T
+                yield pa.RecordBatch.from_arrays([named(e["h"][i], s[i]), named(e["h"][j], s[j])], names=["a", "b"])
+        released()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole cells, about LINES entries of them at once."""
+        held, n, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column("cell").to_numpy()
+            if n >= LINES and cells[-1] != last:
+                ends = int(np.argmax(cells != last))
+                held.append(batch.slice(0, ends))
+                yield from found(held)
+                batch, n = batch.slice(ends), 0
+            held.append(batch)
+            n, last = n + batch.num_rows, cells[-1]
+        if held:
+            yield from found(held)
 
-def verify(pairs: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of lines those whose words have an edit similarity of SIMILARITY or more: 1 - distance / words of the longer one. Lines are read where they occur first."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct().select("line.h", "line.s"), "line-named")
+    return flat.repartition(width(entries.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, PAIR).distinct()
+
+
+def spellings(named: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """line and code (spelled) of the lines named (line). Lines are read where they occur first."""
+    wanted = cut(named.distinct().select("line.h", "line.s"), "line-named")
     wanted = cut(lines.select("h", "s", "first.id").join(sized(wanted), ["h", "s"]), "line-wanted")
     there = rows.join(sized(wanted.select(F.col("id").alias("asked")).distinct()), F.col("id").eqNullSafe(F.col("asked")), "left_semi")
     found = spelled(there).join(sized(wanted.select("h", "s")), ["h", "s"], "left_semi")
-    found = cut(found.groupBy(line().alias("line")).agg(F.first("code").alias("code")), "line-codes")
+    return cut(found.groupBy(line().alias("line")).agg(F.first("code").alias("code")), "line-codes")
+
+
+def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of lines those whose words (found: line, code) have an edit similarity of SIMILARITY or more: 1 - distance / words of the longer one."""
     both = pairs.join(found.select(F.col("line").alias("a"), F.col("code").alias("x")), "a").join(found.select(F.col("line").alias("b"), F.col("code").alias("y")), "b")
     words = lambda c: (F.octet_length(c) / 4).cast("int")
     both = both.withColumn("allowed", F.floor(F.greatest(words("x"), words("y")) * (1 - SIMILARITY) + 1e-9).cast("int")).where(F.abs(words("x") - words("y")) <= F.col("allowed"))
@@ -208,14 +269,31 @@ def line() -> Column:
     return F.struct("h", "s")
 
 
+def similar_groups(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and component of the lines (h, s, n, t, first) that are similar to another."""
+    signed = lines.where(F.col("n") >= MIN_WORDS).select("h", "s", "t")
+    seen = cut(candidates(signed), "line-met")
+    met, rest = cut(seen.where("b IS NOT NULL").select("a", "b").distinct(), "line-pairs"), seen.where("b IS NULL").drop("b")
+    codes = spellings(met.select(F.explode(F.array("a", "b")).alias("line")).unionByName(rest.select(F.col("a").alias("line"))), lines, rows)
+    members = cut(components(cut(verify(met, codes), "line-links")), "line-members")
+    more = cut(across_groups(rest, members, signed.count()).join(met, ["a", "b"], "left_anti"), "line-pairs")
+    links = cut(verify(more, codes), "line-links")
+    if links.isEmpty():
+        return members
+    group = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    joined = links.join(group("a"), "a", "left").join(group("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    larger = cut(components(joined).withColumnRenamed("component", "larger"), "line-larger")
+    alone = larger.select("node").join(members.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = members.unionByName(alone).join(sized(larger.withColumnRenamed("node", "component")), "component", "left")
+    return every.select("node", F.coalesce("larger", "component").alias("component"))
+
+
 def line_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The occurrences of all lines of rows (id, row, text), and (h, s, keep) for each line that occurs twice or is similar to another: keep (id, row, at) is the first occurrence of its group."""
     seen = cut(occurrences(rows), "lines")
     distinct = seen.where("n > 0").groupBy("h", "s").agg(F.min(F.struct("id", "row", "at")).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("t").alias("t"))
     lines = cut(distinct, "line-distinct")
-    met = cut(candidates(lines.where(F.col("n") >= MIN_WORDS).select("h", "s", "t")), "line-pairs")
-    groups = components(cut(verify(met, lines, rows), "line-links"))
-    mine = cut(groups.select("node.h", "node.s", "component"), "line-members")
+    mine = cut(similar_groups(lines, rows).select("node.h", "node.s", "component"), "line-members")
     grouped = lines.join(sized(mine), ["h", "s"], "left").where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", line()))
     keep = cut(grouped.groupBy("component").agg(F.min("first").alias("keep")), "line-keep")
     return seen, cut(grouped.join(keep, "component").select("h", "s", "keep"), "line-groups")

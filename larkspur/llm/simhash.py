@@ -25,8 +25,10 @@ MIN_WORDS = 5
 #: A bucket is to hold about 2^BUCKET lines.
 BUCKET = 16
 LEAST_BITS = 8
-#: Of runs up to this length all pairs are compared, of longer ones each line with the run's leaders.
+#: Of runs up to this length all pairs are compared, of longer ones each line with the run's leaders first.
 RUN = 4
+#: Pairs that are compared or held at once.
+PAIRS = 1 << 20
 #: Features of a line that are counted at once, in lanes of eight bits.
 LANE = 255
 SLICE = 1 << 19
@@ -93,21 +95,39 @@ def near_ones(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
 
 
 def part_pairs(e: np.ndarray, plan: Plan) -> np.ndarray:
+    """The pairs of part_search()."""
+    return part_search(e, plan)[0]
+
+
+def part_search(e: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of entries of the same cell that differ in at most NEAR bits and share a block: rows (i, j).
 
     In a long run i is a leader; it stands before j in the order of the lines' hashes, so that a leader is the same one in many tables.
+    The other near pairs of long runs are among the entries given second, with the bits of their cells' blocks third: pairs_across() finds them.
     """
     _, where, counts = np.unique(e["cell"], return_inverse=True, return_counts=True)
-    bits = np.maximum(np.ceil(np.log2(counts)).astype(np.int64) - 1, 0)  # runs of two lines or so
+    bits = np.maximum(np.ceil(np.log2(counts)).astype(np.int64) - 1, 0)[where]  # runs of two lines or so
+    order = np.argsort(e["h"], kind="stable")
+    found, waiting = [np.zeros((0, 2), np.int64)], np.zeros(len(e), bool)
+    a, b = e["a"][order], e["b"][order]
+    for at, key in runs(a, b, where[order], bits[order], plan):
+        i, j, unsettled = near_in_runs(a[at], b[at], key)
+        found.append(np.stack([order[at[i]], order[at[j]]], 1))
+        waiting[order[at[unsettled]]] = True
+    out = np.concatenate(found)
+    names = np.unique(out[:, 0] * len(e) + out[:, 1])
+    at = np.flatnonzero(waiting)
+    return np.stack([names // max(1, len(e)), names % max(1, len(e))], 1), at, bits[at]
+
+
+def runs(a: np.ndarray, b: np.ndarray, where: np.ndarray, bits: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each place of the second level's blocks: the entries that have one, sorted, and a key that is equal for those with the same number (where) and block. bits is the same for the same number."""
     most = int(bits.max(initial=0))
     rounds = np.array([tables_for(k) for k in range(most + 1)])[bits]
-    order = np.argsort(e["h"], kind="stable")
-    where = where[order]
-    bits, rounds, a, b = bits[where].astype(np.uint64), rounds[where], e["a"][order], e["b"][order]
+    bits = bits.astype(np.uint64)
     room = (U(BITS - plan.bits) - bits) / np.maximum(rounds - 1, 1)
-    place = U(max(1, len(e)).bit_length())
+    place = U(max(1, len(a)).bit_length())
     where = where.astype(np.uint64) << U(most)
-    found = [np.zeros((0, 2), np.int64)]
     for table in range(int(rounds.max(initial=0))):
         at = np.flatnonzero(rounds > table)
         shift = (table * room[at]).astype(np.uint64)
@@ -118,17 +138,55 @@ def part_pairs(e: np.ndarray, plan: Plan) -> np.ndarray:
         block = ((low >> shift) | ((high << U(1)) << (U(63) - shift))) & ((U(1) << bits[at]) - U(1))
         key = ((where[at] | block) << place) | at.astype(np.uint64)
         key.sort()
-        at = (key & ((U(1) << place) - U(1))).astype(np.int64)
-        i, j = near_in_runs(a[at], b[at], key >> place)
-        found.append(np.stack([order[at[i]], order[at[j]]], 1))
-    out = np.concatenate(found)
-    names = np.unique(out[:, 0] * len(e) + out[:, 1])
-    return np.stack([names // max(1, len(e)), names % max(1, len(e))], 1)
+        yield (key & ((U(1) << place) - U(1))).astype(np.int64), key >> place
+
+
+def across(run: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of all pairs of the same run and different labels, about PAIRS at a time; run and, within it, label are sorted."""
+    new = run[1:] != run[:-1]
+    last = np.append(np.flatnonzero(new) + 1, len(run))
+    run_end = np.repeat(last, np.diff(last, prepend=0))
+    last = np.append(np.flatnonzero(new | (label[1:] != label[:-1])) + 1, len(run))
+    label_end = np.repeat(last, np.diff(last, prepend=0))
+    some = np.flatnonzero(run_end > label_end)
+    todo = np.cumsum((run_end - label_end)[some])
+    low = 0
+    while low < len(some):
+        done = todo[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(todo, done + PAIRS, "right")))
+        n = np.diff(todo[low:high], prepend=done)
+        i = np.repeat(some[low:high], n)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + label_end[i]
+        low = high
 
 
-def near_in_runs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of pairs of near entries within runs of equal keys, which are sorted."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def pairs_across(e: np.ndarray, bits: np.ndarray, label: np.ndarray, plan: Plan) -> Iterator[np.ndarray]:
+    """All pairs of entries with different labels that differ in at most NEAR bits and share a cell and a block of so many bits: rows (i, j), which may come again."""
+    _, where = np.unique(e["cell"], return_inverse=True)
+    order = np.lexsort((label, where))
+    a, b, label = e["a"][order], e["b"][order], label[order]
+    held, size = [], 0
+    for at, key in runs(a, b, where[order], bits[order], plan):
+        for i, j in across(key, label[at]):
+            i, j = at[i], at[j]
+            near = near_ones(a, b, i, j)
+            i, j = order[i[near]], order[j[near]]
+            first = e["h"][i] <= e["h"][j]
+            held.append(np.where(first, i, j) * len(e) + np.where(first, j, i))
+            size += len(i)
+            if size >= PAIRS:
+                held = [np.unique(np.concatenate(held))]
+                if (size := len(held[0])) >= PAIRS // 2:
+                    yield np.stack([held[0] // len(e), held[0] % len(e)], 1)
+                    held, size = [], 0
+    if size:
+        names = np.unique(np.concatenate(held))
+        yield np.stack([names // len(e), names % len(e)], 1)
+
+
+def near_in_runs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of pairs of near entries within runs of equal keys, which are sorted: all of short runs, those with the leaders of long ones; and the places among which the other near pairs are."""
+    left, right, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def add(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         near = near_ones(a, b, i, j)
@@ -159,8 +217,33 @@ def near_in_runs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndar
         other = np.flatnonzero(rest != leader)
         left_out = np.ones(len(other), bool)
         left_out[add(leader[other], rest[other])] = False
-        rest = rest[other[left_out]]
-    return np.concatenate(left), np.concatenate(right)
+        gone, rest = rest[other[~left_out]], rest[other[left_out]]
+        waiting.extend(uncompared(a, b, start, gone, rest))
+    return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(waiting))
+
+
+def uncompared(a: np.ndarray, b: np.ndarray, start: np.ndarray, gone: np.ndarray, rest: np.ndarray) -> Iterator[np.ndarray]:
+    """Of the places that go and the rest of their runs (of equal start), those in near pairs of two that go or of one that goes and one of the rest. Two that go are taken for such a pair, and so is all of a run in which there are too many to compare."""
+    if not len(gone):
+        return
+    runs, place, n = np.unique(start[gone], return_inverse=True, return_counts=True)
+    yield gone[n[place] > 1]
+    of = np.minimum(np.searchsorted(runs, start[rest]), len(runs) - 1)
+    there = runs[of] == start[rest]
+    rest, of = rest[there], of[there]
+    many = n * np.bincount(of, minlength=len(runs)) > PAIRS
+    if many.any():
+        yield gone[many[place]]
+        yield rest[many[of]]
+        few = ~many[place], ~many[of]
+        gone, place, rest, of = gone[few[0]], place[few[0]], rest[few[1]], of[few[1]]
+    at, run, left = np.concatenate([gone, rest]), np.concatenate([place, of]), np.repeat([False, True], [len(gone), len(rest)])
+    order = np.lexsort((left, run))
+    at = at[order]
+    for i, j in across(run[order], left[order]):
+        near = near_ones(a, b, at[i], at[j])
+        yield at[i[near]]
+        yield at[j[near]]
 
 
 def lines_of(texts: list[bytes]) -> dict[str, np.ndarray]:

@@ -220,6 +220,43 @@ def test_lines_of_a_template_are_not_joined(spark):
     assert line_dedup.line_report(df).where("n_dropped > 0").count() == 0
 
 
+def test_repeats_among_lines_of_a_template(spark):
+    """Every second line is another one with a word changed. All share most of their words and meet, so that the leaders of the runs are near both lines of a pair, but similar to neither."""
+    rng = np.random.default_rng(7)
+    lines = []
+    for _ in range(300):
+        own = [f"y{x}" for x in rng.integers(0, 10**9, 5)]
+        lines += [" ".join([*(f"t{i}" for i in range(15)), *own]), " ".join([*(f"t{i}" for i in range(14)), f"z{rng.integers(0, 10**9)}", *own])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    gone = {r.doc_id for r in line_dedup.line_report(df).where("n_dropped > 0").collect()}
+    assert gone == set(range(1, 600, 2))
+
+
+@pytest.mark.parametrize("most", [4, 1 << 20])
+def test_later_pairs_complete_the_first(monkeypatch, most):
+    """Pairs with leaders and those across groups are all near pairs that share a block, if every line is a group; with larger groups no pair of two groups is missing."""
+    monkeypatch.setattr(simhash, "PAIRS", most)
+    rng = np.random.default_rng(5)
+    n = 600
+    a, b = (rng.integers(0, 2**63, 20, dtype=np.uint64)[rng.integers(0, 20, n)] for _ in range(2))
+    b[200:] = a[200:] * np.uint64(3)
+    for x in (a, b):
+        for _ in range(8):
+            x ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    h, plan = rng.integers(-(2**63), 2**63, n), simhash.Plan.of(n)
+    e = np.concatenate(list(simhash.entries(h, a, b, plan)))
+    pairs, at, bits = simhash.part_search(e, plan)
+    named = lambda e, pairs: {frozenset(p) for p in e["h"][pairs].tolist()}
+    first = named(e, pairs)
+    monkeypatch.setattr(simhash, "RUN", n)
+    every = named(e, simhash.part_search(e, plan)[0])
+    assert len(every) > len(first) > n
+    for group in (lambda x: x, lambda x: x % 7):
+        found = [named(e[at], p) for p in simhash.pairs_across(e[at], bits, group(e["h"][at]), plan)]
+        apart = {p for p in every if len({group(x) for x in p}) > 1}
+        assert {p for p in set().union(*found, first) if p in apart} == apart and set().union(*found) <= apart
+
+
 def majority(words):
     """The SimHash over different words, bit by bit."""
     hashes = {int(x) >> 24 for x in shingles.word_hashes(" ".join(words).encode())[0]}
