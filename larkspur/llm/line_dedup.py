@@ -44,6 +44,8 @@ LINES = 1 << 16
 BLOB = 1 << 11
 #: Pairs with a line of more words are not verified by the built-in distance, whose cost grows with the square of their length.
 LONG = 2048
+#: Classes of words by which pairs of different groups are told apart.
+BINS = 64
 PAIR = "a struct<h:bigint,s:bigint>, b struct<h:bigint,s:bigint>"
 LINE = pa.struct([("h", pa.int64()), ("s", pa.int64())])
 #: The rest of an entry whose line is a: its cell, its turned SimHash and the bits of its cell's blocks.
@@ -187,13 +189,15 @@ def candidates(lines: DataFrame) -> DataFrame:
     return together.mapInArrow(run, schema)
 
 
-def across_groups(entries: DataFrame, members: DataFrame, lines: int) -> DataFrame:
-    """a, b: all pairs of lines of these entries (a, cell, x, y, bits) that meet, differ in at most NEAR bits and are not in one group; members (node, component) are in groups, other lines alone."""
+def across_groups(entries: DataFrame, members: DataFrame, codes: DataFrame, lines: int) -> DataFrame:
+    """a, b: all pairs of lines of these entries (a, cell, x, y, bits) that meet, differ in at most NEAR bits, are not in one group and may be similar by the words that they hold (codes: line, code); members (node, component) are in groups, other lines alone."""
     plan = Plan.of(lines)
     labelled = entries.join(sized(members.withColumnRenamed("node", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
     apart = labelled.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
     labelled = labelled.join(sized(cut(apart, "line-cells")), "cell", "left_semi")
-    flat = labelled.select("cell", "x", "y", "bits", *[F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("a", "component") for k in ("h", "s")])
+    n = F.octet_length("code") / 4
+    words = codes.select(F.col("line").alias("a"), n.cast("int").alias("n"), F.when(n <= LONG, F.col("code")).alias("code"))
+    flat = labelled.join(words, "a").select("cell", "x", "y", "bits", "n", "code", *[F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("a", "component") for k in ("h", "s")])
 
     def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = lambda c: np.concatenate([x.column(c).to_numpy() for x in held])
@@ -202,11 +206,14 @@ def across_groups(entries: DataFrame, members: DataFrame, lines: int) -> DataFra
             e[to] = column(c).view(e[to].dtype)
         group = np.stack([column("component_h"), column("component_s")], 1)
         _, label = np.unique(group, axis=0, return_inverse=True)
-        s, bits = column("a_s"), column("bits").astype(np.int64)
+        s, n, bits = column("a_s"), column("n"), column("bits").astype(np.int64)
+        held_words = bags([code for x in held for code in x.column("code").to_pylist()])
         held.clear()
         for pairs in simhash.pairs_across(e, bits, label.reshape(-1), plan):
             for low in range(0, len(pairs), LINES):
                 i, j = pairs[low : low + LINES].T
+                may = may_be_similar(n[i], n[j], held_words[i], held_words[j])
+                i, j = i[may], j[may]
                 yield pa.RecordBatch.from_arrays([named(e["h"][i], s[i]), named(e["h"][j], s[j])], names=["a", "b"])
         released()
 
@@ -230,6 +237,23 @@ def across_groups(entries: DataFrame, members: DataFrame, lines: int) -> DataFra
     return flat.repartition(width(entries.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, PAIR).distinct()
 
 
+def bags(codes: list[bytes | None]) -> np.ndarray:
+    """For each code the number of its words of each of BINS classes; without a code -1."""
+    n = np.fromiter((len(c or b"") // 4 for c in codes), np.int64, len(codes))
+    out = np.zeros((len(codes), BINS), np.int16)
+    np.add.at(out, (np.repeat(np.arange(len(codes)), n), np.frombuffer(b"".join(c or b"" for c in codes), ">u4") % BINS), 1)
+    out[[c is None for c in codes]] = -1
+    return out
+
+
+def may_be_similar(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of lines of n and m words with bags x and y those that can have so many words in common that their edit similarity is SIMILARITY."""
+    longer = np.maximum(n, m)
+    allowed = np.floor(longer * (1 - SIMILARITY) + 1e-9)
+    common = np.minimum(x, y).sum(1, dtype=np.int64)
+    return (np.abs(n - m) <= allowed) & ((longer - common <= allowed) | (common < 0))
+
+
 def spellings(named: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
     """line and code (spelled) of the lines named (line). Lines are read where they occur first."""
     wanted = cut(named.distinct().select("line.h", "line.s"), "line-named")
@@ -276,7 +300,7 @@ def similar_groups(lines: DataFrame, rows: DataFrame) -> DataFrame:
     met, rest = cut(seen.where("b IS NOT NULL").select("a", "b").distinct(), "line-pairs"), seen.where("b IS NULL").drop("b")
     codes = spellings(met.select(F.explode(F.array("a", "b")).alias("line")).unionByName(rest.select(F.col("a").alias("line"))), lines, rows)
     members = cut(components(cut(verify(met, codes), "line-links")), "line-members")
-    more = cut(across_groups(rest, members, signed.count()).join(met, ["a", "b"], "left_anti"), "line-pairs")
+    more = cut(across_groups(rest, members, codes, signed.count()).join(met, ["a", "b"], "left_anti"), "line-pairs")
     links = cut(verify(more, codes), "line-links")
     if links.isEmpty():
         return members

@@ -27,6 +27,8 @@ BUCKET = 16
 LEAST_BITS = 8
 #: Of runs up to this length all pairs are compared, of longer ones each line with the run's leaders first.
 RUN = 4
+#: In runs up to this length the leaders are chosen among the near pairs, in longer ones by comparing each in turn with the rest.
+MIDDLE = 32
 #: Pairs that are compared or held at once.
 PAIRS = 1 << 20
 #: Features of a line that are counted at once, in lanes of eight bits.
@@ -194,23 +196,38 @@ def near_in_runs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndar
         right.append(j[near])
         return near
 
-    more = np.flatnonzero(key[RUN:] == key[:-RUN])
-    if len(more):
+    most = max(RUN, MIDDLE)
+    short = np.flatnonzero(key[1:] == key[:-1])
+    size = None
+    if (key[RUN:] == key[:-RUN]).any():
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         length = np.diff(edge)
-        start, long = np.repeat(edge[:-1], length), np.repeat(length > RUN, length)
-        rest = np.flatnonzero(long)
-    else:
-        long, rest = None, more
-    short = np.flatnonzero(key[1:] == key[:-1])
-    if long is not None:
-        short = short[~long[short]]
-    for gap in range(1, RUN):
+        start, size = np.repeat(edge[:-1], length), np.repeat(length, length)
+        short = short[size[short] <= most]
+    for gap in range(1, most):
         add(short, short + gap)
         short = short[short + gap + 1 < len(key)]
         short = short[key[short + gap + 1] == key[short]]
         if not len(short):
             break
+    if size is None:
+        return np.concatenate(left), np.concatenate(right), waiting[0]
+    i, j = np.concatenate(left), np.concatenate(right)
+    middle = size[i] > RUN
+    left, right = [i[~middle]], [j[~middle]]
+    i, j, gone = i[middle], j[middle], np.zeros(len(key), bool)
+    while len(i):  # a line with no near one before it, but for such that go, is a leader; what is near it goes
+        after = np.zeros(len(key), bool)
+        after[j] = True
+        leads = ~after[i]
+        left.append(i[leads])
+        right.append(j[leads])
+        gone[j[leads]] = True
+        waits = ~leads & gone[i]
+        waiting.extend([i[waits], j[waits]])
+        later = ~leads & ~gone[i]
+        i, j = i[later], j[later]
+    rest = np.flatnonzero(size > most)
     while len(rest):  # the first of each run is a leader; what is near it goes
         first = np.flatnonzero(np.concatenate([[True], start[rest][1:] != start[rest][:-1]]))
         leader = np.repeat(rest[first], np.diff(np.append(first, len(rest))))

@@ -232,10 +232,11 @@ def test_repeats_among_lines_of_a_template(spark):
     assert gone == set(range(1, 600, 2))
 
 
-@pytest.mark.parametrize("most", [4, 1 << 20])
-def test_later_pairs_complete_the_first(monkeypatch, most):
+@pytest.mark.parametrize("most, middle", [(4, 1), (1 << 20, 1), (1 << 20, 32)])
+def test_later_pairs_complete_the_first(monkeypatch, most, middle):
     """Pairs with leaders and those across groups are all near pairs that share a block, if every line is a group; with larger groups no pair of two groups is missing."""
     monkeypatch.setattr(simhash, "PAIRS", most)
+    monkeypatch.setattr(simhash, "MIDDLE", middle)
     rng = np.random.default_rng(5)
     n = 600
     a, b = (rng.integers(0, 2**63, 20, dtype=np.uint64)[rng.integers(0, 20, n)] for _ in range(2))
@@ -257,6 +258,23 @@ def test_later_pairs_complete_the_first(monkeypatch, most):
         assert {p for p in set().union(*found, first) if p in apart} == apart and set().union(*found) <= apart
 
 
+def test_bags_refuse_no_similar_pair():
+    rng = np.random.default_rng(13)
+    refused = 0
+    for _ in range(400):
+        x = rng.integers(0, 1 << 20, rng.integers(5, 40))
+        y = np.where(rng.random(len(x)) < rng.choice([0.1, 0.2, 0.5]), rng.integers(0, 1 << 20, len(x)), x)[rng.integers(0, 3) :]
+        codes = [z.astype(">u4").tobytes() for z in (x, y)]
+        bags, longer = line_dedup.bags([*codes, None]), max(len(x), len(y))
+        assert bags[0].sum() == len(x) and (bags[2] == -1).all()
+        n, m = np.array([len(x)] * 2), np.array([len(y)] * 2)
+        may = line_dedup.may_be_similar(n, m, bags[[0, 0]], bags[[1, 2]])
+        assert may[0] or plain_distance(x.tolist(), y.tolist()) > int(0.2 * longer + 1e-9)
+        assert may[1] or abs(len(x) - len(y)) > int(0.2 * longer + 1e-9)
+        refused += not may[0]
+    assert refused > 100
+
+
 def majority(words):
     """The SimHash over different words, bit by bit."""
     hashes = {int(x) >> 24 for x in shingles.word_hashes(" ".join(words).encode())[0]}
