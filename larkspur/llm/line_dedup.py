@@ -189,15 +189,12 @@ def candidates(lines: DataFrame) -> DataFrame:
     return together.mapInArrow(run, schema)
 
 
-def across_groups(entries: DataFrame, members: DataFrame, codes: DataFrame, lines: int) -> DataFrame:
-    """a, b: all pairs of lines of these entries (a, cell, x, y, bits) that meet, differ in at most NEAR bits, are not in one group and may be similar by the words that they hold (codes: line, code); members (node, component) are in groups, other lines alone."""
+def across_groups(entries: DataFrame, known: DataFrame, lines: int) -> DataFrame:
+    """a, b: all pairs of lines of these entries (a, cell, x, y, bits) that meet, differ in at most NEAR bits, are not in one group and may be similar by the words that they hold; known has line, component and code of each line."""
     plan = Plan.of(lines)
-    labelled = entries.join(sized(members.withColumnRenamed("node", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    apart = labelled.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("cell")
-    labelled = labelled.join(sized(cut(apart, "line-cells")), "cell", "left_semi")
     n = F.octet_length("code") / 4
-    words = codes.select(F.col("line").alias("a"), n.cast("int").alias("n"), F.when(n <= LONG, F.col("code")).alias("code"))
-    flat = labelled.join(words, "a").select("cell", "x", "y", "bits", "n", "code", *[F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("a", "component") for k in ("h", "s")])
+    short = known.select(F.col("line").alias("a"), "component", n.cast("int").alias("n"), F.when(n <= LONG, F.col("code")).alias("code"))
+    flat = entries.join(sized(short), "a").select("cell", "x", "y", "bits", "n", "code", *[F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("a", "component") for k in ("h", "s")])
 
     def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = lambda c: np.concatenate([x.column(c).to_numpy() for x in held])
@@ -297,17 +294,19 @@ def similar_groups(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """node and component of the lines (h, s, n, t, first) that are similar to another."""
     signed = lines.where(F.col("n") >= MIN_WORDS).select("h", "s", "t")
     seen = cut(candidates(signed), "line-met")
-    met, rest = cut(seen.where("b IS NOT NULL").select("a", "b").distinct(), "line-pairs"), seen.where("b IS NULL").drop("b")
+    met, rest = cut(seen.where("b IS NOT NULL").select("a", "b").distinct(), "line-pairs"), cut(seen.where("b IS NULL").drop("b"), "line-open")
     codes = spellings(met.select(F.explode(F.array("a", "b")).alias("line")).unionByName(rest.select(F.col("a").alias("line"))), lines, rows)
     members = cut(components(cut(verify(met, codes), "line-links")), "line-members")
-    more = cut(across_groups(rest, members, codes, signed.count()).join(met, ["a", "b"], "left_anti"), "line-pairs")
-    links = cut(verify(more, codes), "line-links")
+    wanted = sized(cut(rest.select(F.col("a").alias("line")).distinct(), "line-wanted"))
+    groups = members.withColumnRenamed("node", "line").join(wanted, "line").withColumn("grouped", F.lit(True))
+    known = codes.join(wanted, "line").join(groups, "line", "left")
+    known = cut(known.select("line", "code", F.coalesce("component", "line").alias("component"), F.coalesce("grouped", F.lit(False)).alias("grouped")), "line-known")
+    links = cut(verify(cut(across_groups(rest, known, signed.count()), "line-pairs"), known.select("line", "code")), "line-links")
     if links.isEmpty():
         return members
-    group = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    joined = links.join(group("a"), "a", "left").join(group("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    larger = cut(components(joined).withColumnRenamed("component", "larger"), "line-larger")
-    alone = larger.select("node").join(members.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    of = lambda c: known.select(F.col("line").alias(c), F.col("component").alias(f"of_{c}"))
+    larger = cut(components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).withColumnRenamed("component", "larger"), "line-larger")
+    alone = known.where("NOT grouped").select(F.col("line").alias("node")).join(larger.select("node"), "node", "left_semi").withColumn("component", F.col("node"))
     every = members.unionByName(alone).join(sized(larger.withColumnRenamed("node", "component")), "component", "left")
     return every.select("node", F.coalesce("larger", "component").alias("component"))
 
