@@ -8,7 +8,8 @@ each connected group of lines the first occurrence, by document id and place, st
 
 No step emits all pairs of a group: in a long run of lines with equal blocks each line is first paired with the run's leaders, the first of
 its lines that are not near an earlier leader. The entries of lines in near pairs that this leaves out are kept, and once the groups of
-the first pairs are known, all pairs of them that lie in different groups are verified too, as those in one group can join nothing.
+the first pairs are known, all pairs of them that lie in different groups are verified too, unless their words' numbers exclude a
+similarity; those in one group can join nothing.
 
 Lines shuffle as numbers; entries of many lines go together as one binary value, so that rows cost nothing. A bucket of more than HOT lines
 is dealt out as pairs of blocks. Signing a line with built-in expressions takes a row for each word and joining by them a row
