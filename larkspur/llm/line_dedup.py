@@ -45,6 +45,8 @@ LINES = 1 << 16
 BLOB = 1 << 11
 #: Pairs with a line of more words are not verified by the built-in distance, whose cost grows with the square of their length.
 LONG = 2048
+#: Bits of the table by which lines are told that are not to be spelled; more lines than that cost signatures, not results.
+ASKED = 1 << 24
 #: Classes of words by which pairs of different groups are told apart.
 BINS = 64
 PAIR = "a struct<h:bigint,s:bigint>, b struct<h:bigint,s:bigint>"
@@ -74,20 +76,30 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return rows.select("id", "row", "text").mapInArrow(run, schema)
 
 
-def spelled(rows: DataFrame) -> DataFrame:
-    """h, s and code of each line of rows (text): a character for each word, big-endian in 4 bytes (a hash of 20 bits)."""
+def spelled(rows: DataFrame, among: np.ndarray) -> DataFrame:
+    """h, s and code of each line of rows (text) whose hash has a bit in a table (simhash.has_bit): a character for each word, big-endian in 4 bytes (a hash of 20 bits)."""
+    sent = rows.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
-            got = simhash.lines_of(lowered(batch.column("text")))
-            some = got["n"] >= MIN_WORDS
-            code = ((got["word_hash"] >> np.uint64(44)) + np.uint64(0x10000)).astype(">u4").tobytes()
-            first, n = got["first"][some] * 4, got["n"][some] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(got["h"][some]), pa.array(got["a"][some]), pa.array([code[i : i + k] for i, k in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())], names=["h", "s", "code"])
+            got = simhash.lines_of(lowered(batch.column("text")), sent.value)
+            some = np.flatnonzero((got["n"] >= MIN_WORDS) & simhash.has_bit(sent.value, got["h"].view(np.uint64)))
+            first, n = got["first"][some], got["n"][some]
+            code = [((got["word_hash"][i : i + k] >> np.uint64(44)) + np.uint64(0x10000)).astype(">u4").tobytes() for i, k in zip(first.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(got["h"][some]), pa.array(got["a"][some]), pa.array(code, pa.binary())], names=["h", "s", "code"])
 
     return rows.select("text").mapInArrow(run, "h long, s long, code binary")
 
 
+def bit_table(lines: DataFrame) -> np.ndarray:
+    """A table of ASKED bits in which the hashes of lines (h) have theirs (simhash.has_bit)."""
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(ASKED // 64 - 1)).alias("word")
+    got = lines.groupBy(word).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(ASKED // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def hot_cells(lines: DataFrame, plan: Plan) -> dict[int, int]:
     """The number of blocks of each bucket of more than HOT lines, by a count over one in SAMPLE lines; at most tables / HOT of the lines."""
 
@@ -257,7 +269,7 @@ def spellings(named: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = cut(named.distinct().select("line.h", "line.s"), "line-named")
     wanted = cut(lines.select("h", "s", "first.id").join(sized(wanted), ["h", "s"]), "line-wanted")
     there = rows.join(sized(wanted.select(F.col("id").alias("asked")).distinct()), F.col("id").eqNullSafe(F.col("asked")), "left_semi")
-    found = spelled(there).join(sized(wanted.select("h", "s")), ["h", "s"], "left_semi")
+    found = spelled(there, bit_table(wanted)).join(sized(wanted.select("h", "s")), ["h", "s"], "left_semi")
     return cut(found.groupBy(line().alias("line")).agg(F.first("code").alias("code")), "line-codes")
 
 

@@ -9,7 +9,6 @@ import numpy as np
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,11 +36,15 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             cut = max(text.rfind(b, low, high) for b in (b" ", b"\n", b"\t", b"\r"))
             high = cut + 1 if cut > low else high
         buf = np.frombuffer(text, np.uint8, high - low, low)
-        blank = BLANK[buf]
-        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        blank = (buf == 32) | (buf - np.uint8(9) < 5)  # white space of ASCII
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # of words, in turn where one starts and where it ends
+        edge = np.concatenate([[0][: not blank[0]], edge, [len(buf)][: not blank[-1]]]).astype(np.int64)
+        starts, ends = edge[::2], edge[1::2]
         sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * POWERS[: len(buf)], out=sums[1:])
+        terms = buf.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= POWERS[: len(buf)]
+        np.cumsum(terms, out=sums[1:])
         hashes.append(mixed((sums[ends] - sums[starts]) * INVERSES[starts] + (ends - starts).astype(np.uint64)))
         places.append(starts + low)
         low = high

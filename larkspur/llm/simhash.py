@@ -31,9 +31,15 @@ RUN = 4
 MIDDLE = 32
 #: Pairs that are compared or held at once.
 PAIRS = 1 << 20
+#: Up to this distance within runs pairs are compared by shifted arrays.
+SMALL = 3
+#: Entries whose blocks are sorted at once, about so many.
+GROUP = 1 << 15
 #: Features of a line that are counted at once, in lanes of eight bits.
 LANE = 255
 SLICE = 1 << 19
+#: Bytes of text whose lines are made at once.
+STEP = 1 << 18
 EACH_LANE = np.uint64(0x0101_0101_0101_0101)
 ENTRY = np.dtype([("cell", "<u8"), ("h", "<i8"), ("a", "<u8"), ("b", "<u8")])
 U = np.uint64
@@ -110,6 +116,7 @@ def part_search(e: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.n
     _, where, counts = np.unique(e["cell"], return_inverse=True, return_counts=True)
     bits = np.maximum(np.ceil(np.log2(counts)).astype(np.int64) - 1, 0)[where]  # runs of two lines or so
     order = np.argsort(e["h"], kind="stable")
+    order = order[np.lexsort((where[order], bits[order]))]
     found, waiting = [np.zeros((0, 2), np.int64)], np.zeros(len(e), bool)
     a, b = e["a"][order], e["b"][order]
     for at, key in runs(a, b, where[order], bits[order], plan):
@@ -123,24 +130,33 @@ def part_search(e: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def runs(a: np.ndarray, b: np.ndarray, where: np.ndarray, bits: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each place of the second level's blocks: the entries that have one, sorted, and a key that is equal for those with the same number (where) and block. bits is the same for the same number."""
-    most = int(bits.max(initial=0))
-    rounds = np.array([tables_for(k) for k in range(most + 1)])[bits]
-    bits = bits.astype(np.uint64)
-    room = (U(BITS - plan.bits) - bits) / np.maximum(rounds - 1, 1)
-    place = U(max(1, len(a)).bit_length())
-    where = where.astype(np.uint64) << U(most)
-    for table in range(int(rounds.max(initial=0))):
-        at = np.flatnonzero(rounds > table)
-        shift = (table * room[at]).astype(np.uint64)
-        low, high = a[at], b[at]
-        far = shift >= U(64)
-        low, high = np.where(far, high, low), np.where(far, U(0), high)
-        shift &= U(63)
-        block = ((low >> shift) | ((high << U(1)) << (U(63) - shift))) & ((U(1) << bits[at]) - U(1))
-        key = ((where[at] | block) << place) | at.astype(np.uint64)
-        key.sort()
-        yield (key & ((U(1) << place) - U(1))).astype(np.int64), key >> place
+    """For each place of the second level's blocks: the entries that have one, sorted, and a key that is equal for those with the same number (where) and block.
+
+    bits is the same for the same number; bits and, within them, where are sorted. Whole numbers with the same bits go together, about GROUP entries, whose arrays stay in the cache.
+    """
+    start = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(a) else np.zeros(0, np.int64)
+    group = np.stack([bits[start], start // GROUP])
+    edge = [*start[np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1].tolist(), len(a)]
+    low = 0
+    for high in edge if len(a) else []:
+        some = int(bits[low])
+        rounds = tables_for(some)
+        room, mask, place = (BITS - plan.bits - some) / max(rounds - 1, 1), U((1 << some) - 1), (high - low).bit_length()
+        number = np.cumsum(np.concatenate([[False], where[low + 1 : high] != where[low : high - 1]]))
+        name = np.uint32 if (int(number[-1]) + 1) << (some + place) <= 1 << 32 else np.uint64
+        base, x, y = ((number << (some + place)) | np.arange(high - low)).astype(name), a[low:high], b[low:high]
+        for table in range(rounds):
+            shift = int(table * room)
+            if shift >= 64:
+                block = y >> U(shift - 64)
+            elif shift + some <= 64:
+                block = x >> U(shift)
+            else:
+                block = (x >> U(shift)) | (y << U(64 - shift))
+            key = base | ((block & mask) << U(place)).astype(name)
+            key.sort()
+            yield (key & name((1 << place) - 1)).astype(np.int64) + low, key >> name(place)
+        low = high
 
 
 def across(run: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,7 +181,7 @@ def across(run: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 def pairs_across(e: np.ndarray, bits: np.ndarray, label: np.ndarray, plan: Plan) -> Iterator[np.ndarray]:
     """All pairs of entries with different labels that differ in at most NEAR bits and share a cell and a block of so many bits: rows (i, j), which may come again."""
     _, where = np.unique(e["cell"], return_inverse=True)
-    order = np.lexsort((label, where))
+    order = np.lexsort((label, where, bits))
     a, b, label = e["a"][order], e["b"][order], label[order]
     held, size = [], 0
     for at, key in runs(a, b, where[order], bits[order], plan):
@@ -186,6 +202,22 @@ def pairs_across(e: np.ndarray, bits: np.ndarray, label: np.ndarray, plan: Plan)
         yield np.stack([names // len(e), names % len(e)], 1)
 
 
+def inside(start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of all pairs within runs, given by start and length, about PAIRS at a time."""
+    start, length = start[length > 1], length[length > 1]
+    todo = np.cumsum(length * (length - 1) // 2)
+    low = 0
+    while low < len(start):
+        done = todo[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(todo, done + PAIRS, "right")))
+        n = length[low:high] - 1
+        first = np.repeat(start[low:high] - np.cumsum(n) + n, n) + np.arange(n.sum())  # but for the last one of each run
+        n = np.repeat(start[low:high] + n, n) - first
+        i = np.repeat(first, n)
+        yield i, np.arange(len(i)) + np.repeat(first + 1 - np.cumsum(n) + n, n)
+        low = high
+
+
 def near_in_runs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places of pairs of near entries within runs of equal keys, which are sorted: all of short runs, those with the leaders of long ones; and the places among which the other near pairs are."""
     left, right, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -197,23 +229,19 @@ def near_in_runs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndar
         return near
 
     most = max(RUN, MIDDLE)
-    short = np.flatnonzero(key[1:] == key[:-1])
-    size = None
-    if (key[RUN:] == key[:-RUN]).any():
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        length = np.diff(edge)
-        start, size = np.repeat(edge[:-1], length), np.repeat(length, length)
-        short = short[size[short] <= most]
-    for gap in range(1, most):
-        add(short, short + gap)
-        short = short[short + gap + 1 < len(key)]
-        short = short[key[short + gap + 1] == key[short]]
-        if not len(short):
-            break
-    if size is None:
-        return np.concatenate(left), np.concatenate(right), waiting[0]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    length = np.diff(edge)
+    own = np.where(length <= most, length, 1)
+    of = key if (own == length).all() else np.where(np.repeat(length <= most, length), key, np.arange(len(key), dtype=key.dtype) + key[-1])
+    for gap in range(1, min(SMALL + 1, int(own.max(initial=0)))):  # by shifted arrays, which need no places
+        some = np.flatnonzero((np.bitwise_count(a[gap:] ^ a[:-gap]) <= NEAR) & (of[gap:] == of[:-gap]))
+        add(some, some + gap)
+    for i, j in inside(edge[:-1], own - SMALL):
+        add(i, j + SMALL)
     i, j = np.concatenate(left), np.concatenate(right)
-    middle = size[i] > RUN
+    if not (length > RUN).any():
+        return i, j, waiting[0]
+    middle = length[np.searchsorted(edge, i, "right") - 1] > RUN
     left, right = [i[~middle]], [j[~middle]]
     i, j, gone = i[middle], j[middle], np.zeros(len(key), bool)
     while len(i):  # a line with no near one before it, but for such that go, is a leader; what is near it goes
@@ -227,7 +255,9 @@ def near_in_runs(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndar
         waiting.extend([i[waits], j[waits]])
         later = ~leads & ~gone[i]
         i, j = i[later], j[later]
-    rest = np.flatnonzero(size > most)
+    long = length > most
+    rest, start = np.flatnonzero(np.repeat(long, length)), np.zeros(len(key), np.int64)
+    start[rest] = np.repeat(edge[:-1][long], length[long])
     while len(rest):  # the first of each run is a leader; what is near it goes
         first = np.flatnonzero(np.concatenate([[True], start[rest][1:] != start[rest][:-1]]))
         leader = np.repeat(rest[first], np.diff(np.append(first, len(rest))))
@@ -263,8 +293,24 @@ def uncompared(a: np.ndarray, b: np.ndarray, start: np.ndarray, gone: np.ndarray
         yield at[j[near]]
 
 
-def lines_of(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Of all lines of the texts, in order: text (its number), at (place in the text), n (words), h (hash of its words), a and b (the SimHash; a hash of h and 0 under MIN_WORDS words), and word_hash and first (of each word, and where the words of each line begin)."""
+def lines_of(texts: list[bytes], among: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Of all lines of the texts, in order: text (its number), at (place in the text), n (words), h (hash of its words), a and b (the SimHash; a hash of h and 0 under MIN_WORDS words), and word_hash and first (of each word, and where the words of each line begin).
+
+    With a table of bits (has_bit) a and b are right only for lines whose hashes have one.
+    """
+    size = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    if len(texts) < 2 or size[-1] <= STEP:
+        return some_lines(texts, among)
+    edge = [0, *(np.flatnonzero(size[1:] // STEP != size[:-1] // STEP) + 1).tolist(), len(texts)]
+    got = [some_lines(texts[low:high], among) for low, high in zip(edge, edge[1:], strict=False)]
+    out = {c: np.concatenate([x[c] for x in got]) for c in got[0]}
+    for c, ends in (("text", edge[1:-1]), ("first", np.cumsum([len(x["word_hash"]) for x in got[:-1]]).tolist())):
+        out[c] += np.repeat([0, *ends], [len(x["text"]) for x in got])
+    return out
+
+
+def some_lines(texts: list[bytes], among: np.ndarray | None) -> dict[str, np.ndarray]:
+    """lines_of() about STEP bytes, whose arrays stay in the cache."""
     buf = b"\n".join(texts)
     ends = np.flatnonzero(np.frombuffer(buf, np.uint8) == 10) if buf else np.zeros(0, np.int64)
     bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1  # where each text ends
@@ -272,21 +318,33 @@ def lines_of(texts: list[bytes]) -> dict[str, np.ndarray]:
     starts = np.searchsorted(text, np.arange(len(texts)))
     at = np.arange(len(text)) - starts[text]
     words, places = word_hashes(buf)
-    line = np.searchsorted(ends, places)
-    n = np.bincount(line, minlength=len(text))
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    inside = np.arange(len(words)) - first[line]
+    first = np.searchsorted(places, np.concatenate([[0], ends]))
+    n = np.diff(np.append(first, len(words)))
+    line = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(words)) - np.repeat(first, n)
     h = np.zeros(len(text), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         h[some] = np.add.reduceat((words + U(1)) * powers(0xD1342543DE82EF95, int(n.max()))[inside], first[some])
     h = mixed(h + n.astype(np.uint64))
     a, b = mixed(h ^ U(0x5851F42D4C957F2D)), np.zeros(len(text), np.uint64)
-    for low, high in slices(n, first):
-        a[low:high], b[low:high] = signed(words[first[low] : first[high - 1] + n[high - 1]], line[first[low] : first[high - 1] + n[high - 1]] - low, n[low:high], a[low:high])
+    sign, own, of = np.arange(len(n)), words, line
+    if among is not None:
+        there = has_bit(among, h)
+        sign, own = np.flatnonzero(there), words[there[line]]
+        of = np.repeat(np.arange(len(sign)), n[sign])
+    begin = np.cumsum(n[sign]) - n[sign]
+    for low, high in slices(n[sign], begin):
+        at_words = slice(begin[low], begin[high - 1] + n[sign[high - 1]])
+        a[sign[low:high]], b[sign[low:high]] = signed(own[at_words], of[at_words] - low, n[sign[low:high]], a[sign[low:high]])
     return {"text": text, "at": at, "n": n, "h": h.view(np.int64), "a": a.view(np.int64), "b": b.view(np.int64), "word_hash": words, "first": first}
 
 
+def has_bit(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have a bit in a table of 64-bit words, whose number is a power of two: the last six bits of a hash name the bit, those before them the word."""
+    return ((table[(h >> U(6)) & U(len(table) - 1)] >> (h & U(63))) & U(1)).astype(bool)
+
+
 def slices(n: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of lines with about SLICE words, or of one longer line."""
     low = 0
@@ -315,13 +373,14 @@ def signed(words: np.ndarray, line: np.ndarray, n: np.ndarray, short: np.ndarray
     chunk_of = np.repeat(np.arange(len(own)), chunks)
     first_chunk = np.concatenate([[0], np.cumsum(chunks)[:-1]])
     chunk_start = begin[own][chunk_of] + LANE * (np.arange(len(chunk_of)) - first_chunk[chunk_of])
-    halves = []
+    halves, bit = [], np.empty(len(key), np.uint64)
     x = key & U((1 << 40) - 1)
     for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         x = mixed(x * U(salt) + U(salt >> 7))
         sig = np.zeros((len(own), 8), np.uint8)
         for k in range(8):
-            lanes = np.add.reduceat((x >> U(k)) & EACH_LANE, chunk_start).view(np.uint8).reshape(-1, 8)
+            np.bitwise_and(np.right_shift(x, U(k), out=bit), EACH_LANE, out=bit)
+            lanes = np.add.reduceat(bit, chunk_start).view(np.uint8).reshape(-1, 8)
             total = np.add.reduceat(lanes.astype(np.int64), first_chunk, axis=0) if len(chunk_of) > len(own) else lanes.astype(np.int64)
             sig |= (2 * total > features[own][:, None]).astype(np.uint8) << np.uint8(k)
         halves.append(sig.view(np.uint64)[:, 0])

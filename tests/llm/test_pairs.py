@@ -305,6 +305,61 @@ def test_lines_are_signed_alike_wherever_they_stand(monkeypatch):
         assert every[c].tolist() == small[c].tolist() == [int(x) for o in one for x in o[c]]
 
 
+def test_lines_are_signed_alike_in_steps(monkeypatch):
+    """Texts taken a few bytes at a time give the same; with a table of bits the lines that have one are signed as ever."""
+    texts = ["\n".join(" ".join(f"w{(i * j) % 23}" for j in range(i % 9 + 1)) for i in range(k, k + 5)).encode() for k in range(60)] + [b"", b"\n", b"w1 " * 400]
+    every = simhash.lines_of(texts)
+    for step in (1, 100, 1000):
+        monkeypatch.setattr(simhash, "STEP", step)
+        assert all((every[c] == got).all() for c, got in simhash.lines_of(texts).items())
+    table = np.zeros(1 << 10, np.uint64)
+    h = every["h"].view(np.uint64)
+    for x in np.unique(h)[::7].tolist():
+        table[(x >> 6) % len(table)] |= np.uint64(1 << x % 64)
+    there, some = simhash.has_bit(table, h), simhash.lines_of(texts, table)
+    assert np.isin(np.unique(h)[::7], h[there]).all() and 0 < there.sum() < len(h)
+    assert all((every[c][there] == some[c][there]).all() for c in ("a", "b")) and (every["h"] == some["h"]).all()
+
+
+def test_only_lines_asked_for_are_spelled(spark):
+    lines = [f"line number {i} has some words" for i in range(50)]
+    df = spark.createDataFrame([("\n".join(lines),), (None,)], "text string")
+    h = simhash.lines_of([x.encode() for x in lines])["h"].tolist()
+    table = line_dedup.bit_table(spark.createDataFrame([(x,) for x in h[::10]], "h long"))
+    got = line_dedup.spelled(df, table).collect()
+    assert {r.h for r in got} == set(h[::10]) and all(len(r.code) == 4 * 6 for r in got)
+
+
+@pytest.mark.parametrize("group, small", [(1, 0), (64, 1), (1 << 15, 3), (1 << 15, 40)])
+def test_search_finds_the_same_in_groups_of_any_size(monkeypatch, group, small):
+    """All near pairs of the short runs of each block, told one by one, and with each that its run's first line is near to."""
+    rng = np.random.default_rng(17)
+    n, plan = 3000, simhash.Plan(8, 10)
+    a, b = (rng.integers(0, 2**63, 300, dtype=np.uint64)[np.minimum(rng.geometric(0.01, n), 299)] for _ in range(2))
+    a ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    b = a * np.uint64(5) ^ np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    e = np.concatenate([x[: n >> (k % 4)] for k, x in enumerate(simhash.entries(rng.integers(-(2**63), 2**63, n), a, b, plan))])
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "SMALL", small)
+    pairs, at, bits = simhash.part_search(e, plan)
+    cells, where, counts = np.unique(e["cell"], return_inverse=True, return_counts=True)
+    own = np.maximum(np.ceil(np.log2(counts)).astype(int) - 1, 0)
+    met = set()
+    for cell in range(len(cells)):
+        rows = np.flatnonzero(where == cell)
+        rows = rows[np.argsort(e["h"][rows])].tolist()
+        rounds = simhash.tables_for(own[cell])
+        for table in range(rounds):
+            shift, block = int(table * ((120 - int(own[cell])) / max(rounds - 1, 1))), defaultdict(list)
+            for r in rows:
+                block[((int(e["b"][r]) << 64 | int(e["a"][r])) >> shift) % (1 << int(own[cell]))].append(r)
+            near = lambda i, j: (int(e["a"][i]) ^ int(e["a"][j])).bit_count() + (int(e["b"][i]) ^ int(e["b"][j])).bit_count() <= simhash.NEAR
+            for run in block.values():
+                met |= {(i, j) for k, i in enumerate(run[: len(run) if len(run) <= simhash.RUN else 1]) for j in run[k + 1 :] if near(i, j)}
+    found = set(map(tuple, pairs.tolist()))
+    assert met <= found and len(met) > n and (bits == own[where[at]]).all()
+
+
 def test_near_sim_hashes_share_a_block():
     """All pairs with fewer differing bits than blocks meet; of those with RADIUS bits RECALL on each level do."""
     rng = np.random.default_rng(3)
