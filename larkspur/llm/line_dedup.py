@@ -151,8 +151,8 @@ def dealt(lines: DataFrame, plan: Plan, hot: dict[int, int], n_parts: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, a, b in taken(batches):
             every = np.concatenate([spread(e, hot) for e in simhash.entries(h, a, b, plan)])
-            part = simhash.mixed(every["cell"]) % np.uint64(n_parts)
-            order = np.lexsort((every["cell"], part))
+            part = (simhash.mixed(every["cell"]) % np.uint64(n_parts)).astype(np.uint16 if n_parts <= 1 << 16 else np.int32)
+            order = np.argsort(part, kind="stable")  # of numbers of 16 bits by counting
             every, part = every[order], part[order].astype(np.int32)
             cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
             cuts = np.unique(np.concatenate([cuts, *[np.arange(low, high, BLOB) for low, high in zip(cuts, cuts[1:], strict=False) if high - low > BLOB]]))
@@ -331,6 +331,7 @@ def line_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = cut(distinct, "line-distinct")
     mine = cut(similar_groups(lines, rows).select("node.h", "node.s", "component"), "line-members")
     grouped = lines.join(sized(mine), ["h", "s"], "left").where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", line()))
+    grouped = cut(grouped.select("h", "s", "first", "component"), "line-grouped")
     keep = cut(grouped.groupBy("component").agg(F.min("first").alias("keep")), "line-keep")
     return seen, cut(grouped.join(keep, "component").select("h", "s", "keep"), "line-groups")
 
